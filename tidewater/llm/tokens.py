@@ -28,7 +28,7 @@ class _Pieces(dict):
 
     def __init__(self, encode, prefix: str, plain: "_Pieces | None" = None):
         super().__init__()
-        self._encode, self._prefix, self._plain = encode, prefix, plain or self
+        self._encode, self._prefix, self._plain = encode, prefix, self if plain is None else plain
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
