@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import storage
+from .packing import op3_packing
 from .token_binary import op8_token_binary
 
-_QUERIES = [op8_token_binary]
+_QUERIES = [op3_packing, op8_token_binary]
 
 
 def _shipped(query):
