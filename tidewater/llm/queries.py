@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import storage
 from .packing import op3_packing
 from .token_binary import op8_token_binary
+from .warc import op2_warc
 
-_QUERIES = [op3_packing, op8_token_binary]
+_QUERIES = [op2_warc, op3_packing, op8_token_binary]
 
 
 def _shipped(query):
