@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import storage
 from .packing import op3_packing
+from .quality import OP9_SQL, op9_quality_rules
 from .token_binary import op8_token_binary
 from .warc import op2_warc
 
-_QUERIES = [op2_warc, op3_packing, op8_token_binary]
+_QUERIES = [op2_warc, op3_packing, op8_token_binary, op9_quality_rules]
 
 
 def _shipped(query):
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": OP9_SQL}
