@@ -34,7 +34,7 @@ _HEAD = struct.Struct("<4sIIIQQ")
 #: Ids a block gathers before it is written.
 BLOCK_IDS = 4_000_000
 _MANIFEST = "shard int, block int, path string, first_doc long, n_docs long, n_ids long"
-_DECODED = "shard int, block int, pos int, doc_id long, n_tokens long, ids_crc32 long, before long"
+_DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, block int, pos int"
 
 
 def encode_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> list[bytes]:
@@ -139,15 +139,15 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for shard, block, path in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "path")), strict=True):
+            for shard, block, path, first in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "path", "start")), strict=True):
                 with storage.open_file(path) as f:
                     doc_ids, lengths, ids = decode_block(f.read())
                 ends = np.cumsum(lengths, dtype=np.int64)
                 raw, n = memoryview(ids.astype("<u4").tobytes()), len(doc_ids)
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(doc_ids.astype(np.int64)), pa.array(lengths.astype(np.int64)), pa.array(np.array(crc, dtype=np.int64)), pa.array(ends - lengths)],
-                    names=["shard", "block", "pos", "doc_id", "n_tokens", "ids_crc32", "before"],
+                    [pa.array(doc_ids.astype(np.int64)), pa.array(ends - lengths + first), pa.array(lengths.astype(np.int64)), pa.array(np.array(crc, dtype=np.int64)), pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(np.arange(n, dtype=np.int32))],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "block", "pos"],
                 )
 
     # offsets of blocks: within a shard by a window over its blocks, between shards by a running sum
@@ -156,11 +156,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     totals = manifest.groupBy("shard").agg(F.sum("n_ids").alias("shard_ids"))
     running = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = totals.select("shard", F.coalesce(F.sum("shard_ids").over(running), F.lit(0)).alias("shard_start"))
-    offsets = manifest.select("shard", "block", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("block_start")).join(shards, "shard")
-    files = manifest.select("shard", "block", "path")
-    tasks = max(1, min(files.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    decoded = files.repartition(tasks, "path").mapInArrow(run, _DECODED)
-    return decoded.join(offsets, ["shard", "block"]).withColumn("start", F.col("shard_start") + F.col("block_start") + F.col("before")).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "block", "pos")
+    block_start = F.coalesce(F.sum("n_ids").over(within), F.lit(0))
+    files = manifest.select("shard", "block", "path", block_start.alias("block_start")).join(shards, "shard").select("shard", "block", "path", (F.col("shard_start") + F.col("block_start")).alias("start"))
+    tasks = max(1, min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return files.repartition(tasks, "path").mapInArrow(run, _DECODED)
 
 
 def op8_token_binary(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
