@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import storage
+from .minhash import op1_minhash
 from .packing import op3_packing
 from .quality import OP9_SQL, op9_quality_rules
 from .token_binary import op8_token_binary
 from .warc import op2_warc
 
-_QUERIES = [op2_warc, op3_packing, op8_token_binary, op9_quality_rules]
+_QUERIES = [op1_minhash, op2_warc, op3_packing, op8_token_binary, op9_quality_rules]
 
 
 def _shipped(query):
