@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import storage
+from .decontaminate import OP5_SQL, op5_decontamination
 from .minhash import op1_minhash
 from .packing import op3_packing
 from .quality import OP9_SQL, op9_quality_rules
 from .token_binary import op8_token_binary
 from .warc import op2_warc
 
-_QUERIES = [op1_minhash, op2_warc, op3_packing, op8_token_binary, op9_quality_rules]
+_QUERIES = [op1_minhash, op2_warc, op3_packing, op5_decontamination, op8_token_binary, op9_quality_rules]
 
 
 def _shipped(query):
@@ -30,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": OP9_SQL}
+    return {"op5_decontamination": OP5_SQL, "op9_quality_rules": OP9_SQL}
