@@ -23,7 +23,7 @@ from . import storage
 _SPACE = " \t\n\x0b\x0c\r"
 _SPACES = r"[\x20\x09-\x0D]+"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Rows whose cost and rejection are measured; any other number gives the same verdicts.
+#: Rows, about, whose cost and rejection are measured; any other number gives the same verdicts.
 SAMPLE_ROWS = 2_000
 
 
@@ -123,7 +123,9 @@ def judge(docs: DataFrame, *, text_col: str = "text", rules: list[Rule] | None =
     name or null)."""
     rules = default_rules() if rules is None else rules
     if len(rules) > 1:
-        sample = docs.select(F.col(text_col).alias("text")).sample(0.1, seed=0).limit(sample_rows)
+        # as many rows from each part of the input as their share, so that no task gathers more
+        share = min(1.0, sample_rows / max(1, docs.count()))
+        sample = docs.select(F.col(text_col).alias("text")).sample(share, seed=0)
         rules = order_rules(storage.materialize(measure(sample), "quality-sample"), rules)
     verdict = F.when(F.col("base_failed"), "base")
     for rule in rules:

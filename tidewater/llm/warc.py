@@ -203,7 +203,7 @@ def read_warc(index: DataFrame) -> DataFrame:
 
     bundles = index.select("bundle").distinct()
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bundles.repartition(tasks, "bundle").mapInArrow(run, _RECORD)
+    return bundles.repartition(tasks).mapInArrow(run, _RECORD)
 
 
 def fetch_records(index: DataFrame, ids: DataFrame) -> DataFrame:
