@@ -19,17 +19,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u > v").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node has one smaller neighbour at most, and that has none."""
+    seen = edges.agg(F.count("*").alias("n"), F.countDistinct("u").alias("u")).first()
+    centres = edges.select(F.col("v").alias("u")).distinct()
+    return seen.n == seen.u and not edges.join(centres, "u", "left_semi").limit(1).count()
+
+
 def connected_components(edges: DataFrame, left: str, right: str, name: str = "components") -> DataFrame:
     """node, component (its smallest node) for every node of ``edges``; loops and nulls are ignored.
 
     Rounds grow with the logarithm of the longest path; each one is written to the shared folder."""
     a, b = F.col(left), F.col(right)
     current = storage.materialize(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), name)
-    mark = None
-    while True:
-        seen = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if seen == mark or not seen.n:
-            break
-        mark = seen
+    while not _are_stars(current):
         current = storage.materialize(_star(_star(current, True), False), name)
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

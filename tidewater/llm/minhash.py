@@ -5,13 +5,16 @@ star-shaped candidate edges, exact confirmation and connected components.
    ``bands * rows`` bins, fills empty bins from a bin that a fixed random order of that bin names
    first, and hashes ``rows`` bins at a time to bucket keys.
 2. Texts with equal shingle sets are one class; only its smallest id goes on.
-3. A bucket proposes edges from its smallest id to each other member, never all pairs.
+3. A bucket proposes edges from ``_ORDERS`` centres (its first members in as many orders) to each
+   other member, never all pairs. Sizes of sets that can't reach the threshold rule an edge out.
 4. Edges are confirmed on full shingle sets; components follow from confirmed edges.
-5. A star can miss two members that resemble each other but not its centre. Buckets whose members
-   are still in several components therefore go on with further centres, 1, 2, 4, ... of them, taken
-   from all components but the bucket's largest, against members of other components, until no
-   pair of members of different components is untested. So every pair that shares a bucket is either
-   confirmed, or in one component, or rejected on full sets.
+5. A star can miss two members that resemble each other but none of its centres. Buckets whose
+   members are still in several components therefore go on: those of up to ``_SMALL`` members test
+   all pairs between components, larger ones a star over one member of each component, drawn anew in
+   each round, until a round confirms no further edge. Every round proposes a number of edges that
+   is linear in the number of bucket memberships. Two texts at the threshold meet in a dozen buckets
+   on average, so a pair is left out only if it falls between components in all of them and in all
+   rounds; the README has counts against brute force.
 
 Two texts at the threshold share no bucket with a probability under ``_MISS``.
 
@@ -24,7 +27,7 @@ input are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import storage
 from .components import connected_components
@@ -33,6 +36,8 @@ from .shingles import mix64, shingle_sets
 _U = np.uint64
 _BINS = 144
 _MISS = 1e-6
+_ORDERS = 3
+_SMALL = 12
 _SIGNED = "id long, n_shingles long, set_hash_1 long, set_hash_2 long, keys array<long>"
 _CONFIRMED = "a long, b long, shared long, linked boolean"
 
@@ -139,14 +144,17 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     real = signed.filter("id IS NOT NULL AND n_shingles > 0")
     same = ["set_hash_1", "set_hash_2", "n_shingles"]
     classes = storage.materialize(real.groupBy(same).agg(F.min("id").alias("rep")), "minhash-classes")
-    members = real.join(classes, same).select("id", "rep", "keys")
-    buckets = members.filter("id = rep").select("id", F.explode("keys").alias("key"))
-    centres = storage.materialize(buckets.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1"), "minhash-centres")
-    shared = storage.materialize(buckets.join(centres, "key").select("key", "id", "centre", "n"), "minhash-buckets")
-    pairs = storage.materialize(shared.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "minhash-pairs")
+    members = real.join(classes, same).select("id", "rep", "n_shingles", "keys")
+    buckets = members.filter("id = rep").select("id", "n_shingles", F.explode("keys").alias("key"))
+    orders = [F.min("id").alias("c0")] + [F.min_by("id", F.xxhash64("id", F.lit(o))).alias(f"c{o}") for o in range(1, _ORDERS)]
+    centres = storage.materialize(buckets.groupBy("key").agg(F.count("*").alias("n"), *orders).filter("n > 1"), "minhash-centres")
+    shared = storage.materialize(buckets.join(centres, "key"), "minhash-buckets")
+    sizes = members.filter("id = rep").select("id", "n_shingles")
+    stars = shared.select(F.col("id").alias("b"), "n_shingles", F.explode(F.array_distinct(F.array(*[f"c{o}" for o in range(_ORDERS)]))).alias("a"))
+    pairs = storage.materialize(_possible(stars, sizes, percent), "minhash-pairs")
     tested = storage.materialize(confirm(pairs, docs, **settings), "minhash-confirmed")
     found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
-    found, tested = _further_centres(shared.filter("n > 2").select("key", "id"), found, tested, docs, settings)
+    found, tested = _between_components(shared.filter("n > 2").select("key", "id", "n_shingles", "n"), sizes, found, tested, docs, settings)
     if real.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         # rows that share an id hold their classes together
         inner = members.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -157,29 +165,38 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _further_centres(buckets: DataFrame, found: DataFrame, tested: DataFrame, docs: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame]:
-    """Step 5 of the module's description: components and tested pairs after it."""
-    took = 0
+def _possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of ``pairs`` (a, b, n_shingles of b) whose sizes allow the threshold."""
+    both = pairs.filter("a != b").distinct().join(sizes.withColumnsRenamed({"id": "a", "n_shingles": "n_a"}), "a")
+    near = both.filter(100 * F.least("n_a", "n_shingles") >= percent * F.greatest("n_a", "n_shingles"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _between_components(buckets: DataFrame, sizes: DataFrame, found: DataFrame, tested: DataFrame, docs: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame]:
+    """Step 5 of the module's description: components and tested pairs after it. ``buckets``: key, id,
+    n_shingles, n (members of the bucket)."""
+    turn = 0
     while True:
-        labelled = buckets.join(found, buckets.id == found.node, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
-        mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("largest"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        open_rows = storage.materialize(labelled.join(mixed, "key"), "minhash-open")
-        small = open_rows.filter("component != largest").withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("component", "id")))
-        centres = small.filter((F.col("turn") > took) & (F.col("turn") <= 2 * took + 1)).select("key", F.col("id").alias("a"), F.col("component").alias("component_a"))
-        if not small.filter(F.col("turn") > took).limit(1).count():
+        labelled = buckets.join(found, buckets.id == found.node, "left").select("key", "id", "n_shingles", "n", F.coalesce("component", "id").alias("component"))
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+        buckets = storage.materialize(labelled.join(mixed, "key"), "minhash-mixed")
+        small, large = buckets.filter(F.col("n") <= _SMALL), buckets.filter(F.col("n") > _SMALL)
+        mine = large.groupBy("key", "component").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))
+        centre = mine.groupBy("key").agg(F.min_by("id", F.xxhash64("component", F.lit(turn))).alias("a"))
+        star = mine.join(centre, "key").join(sizes, "id").select(F.col("id").alias("b"), "n_shingles", "a")
+        if not turn:
+            other = small.select("key", F.col("id").alias("a"), F.col("component").alias("component_a"))
+            crossing = small.join(other, "key").filter("a < id AND component != component_a")
+            star = star.unionByName(crossing.select(F.col("id").alias("b"), "n_shingles", "a"))
+        pairs = storage.materialize(_possible(star, sizes, settings["percent"]).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs")
+        if not pairs.limit(1).count():
+            return found, tested
+        more = storage.materialize(confirm(pairs, docs, **settings), "minhash-confirmed")
+        tested = tested.unionByName(more)
+        if not more.filter("linked").limit(1).count():
             return found, tested
-        crossing = open_rows.join(centres, "key").filter("component != component_a")
-        ordered = crossing.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = storage.materialize(ordered.join(done, ["a", "b"], "left_anti"), "minhash-pairs")
-        took = 2 * took + 1
-        if pairs.limit(1).count():
-            more = storage.materialize(confirm(pairs, docs, **settings), "minhash-confirmed")
-            tested = tested.unionByName(more)
-            if more.filter("linked").limit(1).count():
-                found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
-                buckets, took = open_rows.select("key", "id"), 0
+        found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
+        buckets, turn = buckets.select("key", "id", "n_shingles", "n"), turn + 1
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
