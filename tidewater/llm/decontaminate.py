@@ -8,17 +8,18 @@ A document that contains a share ``t`` of an item lacks at most ``u - ceil(t * u
 so it contains one of these values at least: no match is lost. Candidates are then confirmed on the
 full shingle sets of item and document.
 
-Documents are read once for the search, each shingle being looked up in the sketches. These are
-broadcast in blocks of at most ``BLOCK_VALUES`` values; more items mean more passes. Confirmation
-reads the candidate documents only; its join is broadcast or not by the size of the written
-candidate table.
+Documents are read once: each of their shingles is looked up among the items' shingles, which say
+whether they are MinHash values. Pairs with a hit on a value are the candidates; the distinct hits of
+a candidate, values or not, are its exact containment. So confirmation needs no second look at the
+documents, and only hits are shuffled. Items are broadcast in blocks of at most about
+``BLOCK_VALUES`` shingles; more items mean more passes.
 
 Words are as in the quality rules, in lower case; a shingle is ``k`` words, and an item with fewer
 words has its whole word sequence as its only shingle, to be found anywhere in a document.
 
-Edge cases: null texts and texts without words match nothing; repeated items each give their rows;
-a repeated document id counts as one document with the shingles of all its rows; an empty table
-gives no rows; further columns are ignored.
+Edge cases: null texts and texts without words match nothing; rows that share an item id, or a
+document id, count as one item or document with the shingles of all of them; rows with a null id are
+left out; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,39 +45,37 @@ def _worded(frame: DataFrame, id_col: str, text_col: str, name: str) -> DataFram
 
 
 def item_shingles(items: DataFrame, *, k: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, size (words of a shingle), shingles (sorted distinct hashes)."""
+    """item_id, sizes (words of a shingle; one value but for mixed items), shingles (sorted distinct
+    hashes)."""
     words = F.col("_words")
     whole = reduce(lambda rest, n: F.when(F.size(words) == n, _shingles(words, n)).otherwise(rest), range(1, k), _shingles(words, k))
-    rows = _worded(items, id_col, text_col, "item_id").filter(F.size("_words") > 0)
-    return rows.select("item_id", F.least(F.size(words), F.lit(k)).alias("size"), F.array_sort(F.array_distinct(whole)).alias("shingles"))
+    rows = _worded(items, id_col, text_col, "item_id").filter(F.col("item_id").isNotNull() & (F.size("_words") > 0))
+    sets = rows.select("item_id", F.least(F.size(words), F.lit(k)).alias("size"), whole.alias("shingles")).groupBy("item_id")
+    return sets.agg(F.collect_set("size").alias("sizes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("shingles")))).alias("shingles"))
 
 
-def sketches(shingled: DataFrame, percent: int) -> DataFrame:
-    """item_id, value: the MinHash values of each item, as many as its size partition needs."""
+def with_minhash(shingled: DataFrame, percent: int) -> DataFrame:
+    """item_id, n, value, minhash: each shingle of an item, and whether it is one of the MinHash values
+    that the size partition of the item keeps."""
     n = F.size("shingles")
     upper = F.pow(F.lit(2), F.ceil(F.log2(n))).cast("long")
     keep = upper - F.ceil(F.lit(percent) * upper / F.lit(100)) + 1
-    return shingled.select("item_id", F.explode(F.slice("shingles", F.lit(1), keep.cast("int"))).alias("value"))
+    return shingled.select("item_id", n.cast("long").alias("n"), keep.alias("keep"), F.posexplode("shingles").alias("at", "value")).select("item_id", "n", "value", (F.col("at") < F.col("keep")).alias("minhash"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_values: int = BLOCK_VALUES) -> DataFrame:
     """``id_col``, item_id, item_shingles, shared_shingles for every pair with
     100 * shared >= percent * item's shingles."""
     shingled = storage.materialize(item_shingles(items, k=k), "contamination-items")
-    values = storage.materialize(sketches(shingled, percent), "contamination-sketches")
-    sizes = sorted(r.size for r in shingled.select("size").distinct().collect())  # at most k values
-    n_values = values.count()
-    blocks = -(-n_values // block_values)
+    values = storage.materialize(with_minhash(shingled, percent), "contamination-values")
+    sizes = sorted(r.s for r in shingled.select(F.explode("sizes").alias("s")).distinct().collect())  # at most k values
+    blocks = max(1, -(-values.count() // block_values))
     everything = reduce(lambda a, b: F.concat(a, b), [_shingles(F.col("_words"), s) for s in sizes], F.array().cast("array<bigint>"))
-    worded = _worded(docs, id_col, text_col, "_id").filter("_id IS NOT NULL")
-    looked_up = worded.select("_id", F.explode(everything).alias("value"))
-    found = [looked_up.join(F.broadcast(values.filter(F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))) == b)), "value").select("_id", "item_id").distinct() for b in range(max(1, blocks))]
-    candidates = storage.materialize(reduce(DataFrame.unionByName, found), "contamination-candidates")
-    sets = worded.join(candidates.groupBy("_id").agg(F.collect_set("item_id").alias("items")), "_id").select("_id", F.explode("items").alias("item_id"), F.array_distinct(everything).alias("doc_shingles"))
-    sets = sets.join(shingled, "item_id")
-    hits = sets.select("_id", "item_id", F.size("shingles").alias("n"), F.explode(F.array_intersect("shingles", "doc_shingles")).alias("h"))
-    confirmed = hits.groupBy("_id", "item_id", "n").agg(F.countDistinct("h").alias("shared")).filter(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n"))
-    return confirmed.select(F.col("_id").alias(id_col), "item_id", F.col("n").cast("long").alias("item_shingles"), F.col("shared").alias("shared_shingles"))
+    looked_up = _worded(docs, id_col, text_col, "_id").filter("_id IS NOT NULL").select("_id", F.explode(everything).alias("value"))
+    hits = [looked_up.join(F.broadcast(values.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)), "value") for b in range(blocks)]
+    pairs = reduce(DataFrame.unionByName, hits).distinct().groupBy("_id", "item_id", "n").agg(F.count("*").alias("shared"), F.max("minhash").alias("candidate"))
+    confirmed = pairs.filter(F.col("candidate") & (F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n")))
+    return confirmed.select(F.col("_id").alias(id_col), "item_id", F.col("n").alias("item_shingles"), F.col("shared").alias("shared_shingles"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
