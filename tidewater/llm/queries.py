@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import storage
 from .decontaminate import OP5_SQL, op5_decontamination
 from .language import op4_language_id
+from .license import op7_license
 from .minhash import op1_minhash
 from .packing import op3_packing
 from .quality import OP9_SQL, op9_quality_rules
@@ -17,7 +18,7 @@ from .token_binary import op8_token_binary
 from .url_filter import op10_url_filter
 from .warc import op2_warc
 
-_QUERIES = [op1_minhash, op2_warc, op3_packing, op4_language_id, op5_decontamination, op6_suffix_dedup, op8_token_binary, op9_quality_rules, op10_url_filter]
+_QUERIES = [op1_minhash, op2_warc, op3_packing, op4_language_id, op5_decontamination, op6_suffix_dedup, op7_license, op8_token_binary, op9_quality_rules, op10_url_filter]
 
 
 def _shipped(query):
