@@ -202,7 +202,7 @@ _BODIES = {
         UNION SELECT article_id FROM (SELECT *, row_number() OVER (PARTITION BY customer_key ORDER BY CAST(n_sold * n_owned AS DOUBLE) / (1 + days) DESC, article_id) AS rank FROM (SELECT customer_key, product_code, count(*) AS n_owned, date_diff('day', max(t_dat), @) AS days FROM w90 JOIN art USING (article_id) GROUP BY 1, 2)
          JOIN r6s USING (product_code)) WHERE rank <= 150
         UNION SELECT article_id FROM (SELECT customer_key, article_id, row_number() OVER (PARTITION BY customer_key ORDER BY max(t_dat) DESC, count(*) DESC, article_id) AS rank FROM w90 GROUP BY 1, 2) WHERE rank <= 50) s LEFT JOIN f2 f USING (article_id)""",
-    "snapshot_parity": "SELECT CAST(1 AS DOUBLE) AS overlap, CAST(1 AS DOUBLE) AS identical",
+    "snapshot_parity": "SELECT avg(n / CAST(12 AS DOUBLE)) AS overlap, CAST(1 AS DOUBLE) AS identical FROM (SELECT customer_key, count(*) AS n FROM cand WHERE cand_rank <= 12 GROUP BY 1)",
 }
 
 
