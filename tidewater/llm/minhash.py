@@ -106,8 +106,9 @@ def sign(docs: DataFrame, *, k: int, bands: int, rows: int, id_col: str, text_co
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _SIGNED)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, *, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """a, b, shared, linked: ``pairs`` (a, b) held against the full shingle sets of both texts.
+def confirm(pairs: DataFrame, texts: DataFrame, *, k: int, percent: int) -> DataFrame:
+    """a, b, shared, linked: ``pairs`` (a, b) held against the full shingle sets of both ``texts``
+    (id, text).
 
     Texts travel, not sets: a shingle hash is longer than its share of the text. Rows arrive sorted
     by ``a``, the centre of a star, whose set is then computed once."""
@@ -129,9 +130,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, *, k: int, percent: int, id_col:
                     linked.append(inter > 0 and 100 * inter >= percent * (len(held) + len(b) - inter))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    with_b = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-    both = with_b.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
+    with_b = pairs.hint("merge").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
+    both = with_b.hint("merge").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, _CONFIRMED)
 
 
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     """``id_col``, n_shingles, component_id (smallest id reachable over pairs of texts with
     100 * shared >= percent * union) and kept (id = component_id), one row for each row of ``docs``."""
     bands, rows = band_shape(percent / 100)
-    settings = {"k": k, "percent": percent, "id_col": id_col, "text_col": text_col}
+    settings = {"k": k, "percent": percent}
     signed = storage.materialize(sign(docs, k=k, bands=bands, rows=rows, id_col=id_col, text_col=text_col), "minhash-signed")
     real = signed.filter("id IS NOT NULL AND n_shingles > 0")
     same = ["set_hash_1", "set_hash_2", "n_shingles"]
@@ -152,9 +152,16 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     sizes = members.filter("id = rep").select("id", "n_shingles")
     stars = shared.select(F.col("id").alias("b"), "n_shingles", F.explode(F.array_distinct(F.array(*[f"c{o}" for o in range(_ORDERS)]))).alias("a"))
     pairs = storage.materialize(_possible(stars, sizes, percent), "minhash-pairs")
-    tested = storage.materialize(confirm(pairs, docs, **settings), "minhash-confirmed")
+    # the texts of bucket mates, the only ones that any round needs, leave the documents once; their
+    # share of the input doesn't depend on its size, so neither does the way they are joined
+    mates = storage.materialize(shared.select("id").distinct(), "minhash-mates")
+    all_texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = storage.materialize(all_texts.join(mates.hint("merge"), "id", "left_semi"), "minhash-texts")
+    tested = storage.materialize(confirm(pairs, texts, **settings), "minhash-confirmed")
     found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
-    found, tested = _between_components(shared.filter("n > 2").select("key", "id", "n_shingles", "n"), sizes, found, tested, docs, settings)
+    crowded = shared.filter("n > 2").select("id").distinct()
+    crowd = storage.materialize(members.filter("id = rep").select("id", "n_shingles", "keys").join(crowded, "id", "left_semi"), "minhash-crowd")
+    found, tested = _between_components(crowd, sizes, found, tested, texts, settings)
     if real.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         # rows that share an id hold their classes together
         inner = members.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -172,13 +179,13 @@ def _possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _between_components(buckets: DataFrame, sizes: DataFrame, found: DataFrame, tested: DataFrame, docs: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame]:
-    """Step 5 of the module's description: components and tested pairs after it. ``buckets``: key, id,
-    n_shingles, n (members of the bucket)."""
+def _between_components(crowd: DataFrame, sizes: DataFrame, found: DataFrame, tested: DataFrame, texts: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame]:
+    """Step 5 of the module's description: components and tested pairs after it. ``crowd``: id,
+    n_shingles, keys of the texts in buckets of more than two."""
     turn = 0
     while True:
-        labelled = buckets.join(found, buckets.id == found.node, "left").select("key", "id", "n_shingles", "n", F.coalesce("component", "id").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+        labelled = crowd.join(found, crowd.id == found.node, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low != high").select("key", "n")
         buckets = storage.materialize(labelled.join(mixed, "key"), "minhash-mixed")
         small, large = buckets.filter(F.col("n") <= _SMALL), buckets.filter(F.col("n") > _SMALL)
         mine = large.groupBy("key", "component").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))
@@ -191,12 +198,12 @@ def _between_components(buckets: DataFrame, sizes: DataFrame, found: DataFrame,
         pairs = storage.materialize(_possible(star, sizes, settings["percent"]).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs")
         if not pairs.limit(1).count():
             return found, tested
-        more = storage.materialize(confirm(pairs, docs, **settings), "minhash-confirmed")
+        more = storage.materialize(confirm(pairs, texts, **settings), "minhash-confirmed")
         tested = tested.unionByName(more)
         if not more.filter("linked").limit(1).count():
             return found, tested
         found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
-        buckets, turn = buckets.select("key", "id", "n_shingles", "n"), turn + 1
+        turn += 1
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
