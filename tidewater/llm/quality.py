@@ -79,10 +79,17 @@ def _repeat_words(words: Column) -> Column:
     return _bound(windows, lambda win: F.when(F.size(F.array_distinct(win)) == F.size(win), F.lit(0)).otherwise(covered(win)))
 
 
+def _fixed(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns through a generator of one row. The optimizer moves neither projections nor
+    filters through it, so what they are computed from is never copied into another expression,
+    where a lambda would evaluate it again for every word."""
+    return frame.drop(*columns).select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The measures, and ``_text``, beside the columns of ``docs``."""
     texts = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    split = texts.withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", _lines_with_words(F.col("_text")))
+    split = _fixed(texts, {"_words": words_of(F.col("_text")), "_lines": _lines_with_words(F.col("_text"))})
     words, lines = F.col("_words"), F.col("_lines")
     found = {
         "n_words": F.size(words),
@@ -91,7 +98,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": _repeat_words(words),
     }
-    return split.withColumns({k: v.cast("long") for k, v in found.items()}).drop("_words", "_lines")
+    return _fixed(split, {k: v.cast("long") for k, v in found.items()}).drop("_words", "_lines")
 
 
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
