@@ -88,11 +88,13 @@ class PointwiseGbt:
 
     def fit(self, rows: DataFrame) -> PointwiseGbt:
         filled, names = self._numeric(rows)
+        filled = filled.persist()  # boosting reads the rows once for each level of each tree
         indexed = [c for c in features.CATEGORICAL if c in rows.columns]
-        largest = max([2, *rows.agg(*[F.countDistinct(c) for c in indexed]).first()]) if indexed else 2
+        largest = max([2, *filled.agg(*[F.countDistinct(c) for c in indexed]).first()]) if indexed else 2
         stages = [StringIndexer(inputCols=indexed, outputCols=[f"_{c}" for c in indexed], handleInvalid="keep")] if indexed else []
         stages += [VectorAssembler(inputCols=names + [f"_{c}" for c in indexed], outputCol="_features"), GBTClassifier(labelCol="label", featuresCol="_features", maxBins=max(32, largest + 2), **self.settings)]
         self.model = Pipeline(stages=stages).fit(filled)
+        filled.unpersist()
         return self
 
     def score(self, rows: DataFrame) -> DataFrame:
