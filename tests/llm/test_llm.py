@@ -177,6 +177,21 @@ def test_near_duplicates_of_many_variants(spark):
     assert sorted(map(tuple, minhash.near_duplicates(docs, k=3, percent=85).collect())) == linked(rows, 3, 85)
 
 
+def test_near_duplicates_of_a_large_family(spark, monkeypatch):
+    """Independent edits of one text: most variants resemble only the original, which no order puts
+    first, and every bucket they share is large."""
+    monkeypatch.setattr(minhash, "_BLOCK", 300)
+    rng, base = random.Random(8), words(4000, 200, 100_000)
+    rows = []
+    for i in range(1100):
+        text = list(base)
+        for p in rng.sample(range(5, 195), 0 if i == 712 else rng.randrange(3, 8)):
+            text[p] = f"v{rng.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85)
+    assert sorted(map(tuple, got.collect())) == linked(rows, 3, 85)
+
+
 def test_shared_and_null_ids(spark):
     a, b = " ".join(words(1, 50)), " ".join(words(2, 50))
     docs = spark.createDataFrame([(1, a), (1, b), (2, b), (None, a), (None, None)], "doc_id long, text string")

@@ -11,10 +11,14 @@ star-shaped candidate edges, exact confirmation and connected components.
 5. A star can miss two members that resemble each other but none of its centres. Buckets whose
    members are still in several components therefore go on: those of up to ``_SMALL`` members test
    all pairs between components, larger ones a star over one member of each component, drawn anew in
-   each round, until a round confirms no further edge. Every round proposes a number of edges that
-   is linear in the number of bucket memberships. Two texts at the threshold meet in a dozen buckets
-   on average, so a pair is left out only if it falls between components in all of them and in all
-   rounds; the README has counts against brute force.
+   each of at most ``_ROUNDS`` rounds.
+6. The rounds only lessen what is left. Large buckets that are mixed after them form families (texts
+   reachable over such buckets), and all pairs between components of a family are counted on full
+   shingle sets. A family is dealt into blocks of at most ``_BLOCK`` members and ``_BLOCK_SHINGLES``
+   shingles on average; a task counts two blocks against each other, so only texts travel, once for
+   each block they are held against, and only edges that join components come back. Components that
+   fill half a block have blocks of their own, which aren't held against each other. The work grows
+   with the square of what the rounds left of a family; no pair that shares a bucket is left out.
 
 Two texts at the threshold share no bucket with a probability under ``_MISS``.
 
@@ -38,6 +42,10 @@ _BINS = 144
 _MISS = 1e-6
 _ORDERS = 3
 _SMALL = 12
+_ROUNDS = 2
+_BLOCK = 1024
+_BLOCK_SHINGLES = 1 << 19
+_COLUMNS = 4096
 _SIGNED = "id long, n_shingles long, set_hash_1 long, set_hash_2 long, keys array<long>"
 _CONFIRMED = "a long, b long, shared long, linked boolean"
 
@@ -161,7 +169,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
     crowded = shared.filter("n > 2").select("id").distinct()
     crowd = storage.materialize(members.filter("id = rep").select("id", "n_shingles", "keys").join(crowded, "id", "left_semi"), "minhash-crowd")
-    found, tested = _between_components(crowd, sizes, found, tested, texts, settings)
+    found, tested, large = _between_components(crowd, sizes, found, tested, texts, settings)
+    if large.limit(1).count():
+        more = storage.materialize(_between_blocks(large, sizes, texts, settings), "minhash-confirmed")
+        tested = tested.unionByName(more)
+        found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
     if real.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         # rows that share an id hold their classes together
         inner = members.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -179,14 +191,17 @@ def _possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _between_components(crowd: DataFrame, sizes: DataFrame, found: DataFrame, tested: DataFrame, texts: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame]:
-    """Step 5 of the module's description: components and tested pairs after it. ``crowd``: id,
-    n_shingles, keys of the texts in buckets of more than two."""
-    turn = 0
-    while True:
+def _between_components(crowd: DataFrame, sizes: DataFrame, found: DataFrame, tested: DataFrame, texts: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Step 5 of the module's description: components and tested pairs after it, and the members
+    (id, component, key) of large buckets that are still mixed. ``crowd``: id, n_shingles, keys of
+    the texts in buckets of more than two."""
+    def mixed() -> DataFrame:
         labelled = crowd.join(found, crowd.id == found.node, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low != high").select("key", "n")
-        buckets = storage.materialize(labelled.join(mixed, "key"), "minhash-mixed")
+        keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low != high").select("key", "n")
+        return storage.materialize(labelled.join(keys, "key"), "minhash-mixed")
+
+    buckets = mixed()
+    for turn in range(_ROUNDS):
         small, large = buckets.filter(F.col("n") <= _SMALL), buckets.filter(F.col("n") > _SMALL)
         mine = large.groupBy("key", "component").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))
         centre = mine.groupBy("key").agg(F.min_by("id", F.xxhash64("component", F.lit(turn))).alias("a"))
@@ -197,13 +212,101 @@ def _between_components(crowd: DataFrame, sizes: DataFrame, found: DataFrame, te
             star = star.unionByName(crossing.select(F.col("id").alias("b"), "n_shingles", "a"))
         pairs = storage.materialize(_possible(star, sizes, settings["percent"]).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs")
         if not pairs.limit(1).count():
-            return found, tested
+            break
         more = storage.materialize(confirm(pairs, texts, **settings), "minhash-confirmed")
         tested = tested.unionByName(more)
         if not more.filter("linked").limit(1).count():
-            return found, tested
+            break
         found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
-        turn += 1
+        buckets = mixed()
+    return found, tested, buckets.filter(F.col("n") > _SMALL).select("id", "component", "key")
+
+
+def _shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``one`` with each of ``other``; sets are sorted and
+    distinct. Only shingles that both sides have are counted, some columns at a time."""
+    columns = np.intersect1d(np.concatenate(one), np.concatenate(other))
+
+    def cells(sets):
+        flat = np.concatenate(sets)
+        at = np.searchsorted(columns, flat)
+        there = at < len(columns)
+        there[there] = columns[at[there]] == flat[there]
+        at, row = at[there], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[there]
+        order = np.argsort(at, kind="stable")
+        return at[order], row[order]
+
+    sides, total = [(len(s), *cells(s)) for s in (one, other)], np.zeros((len(one), len(other)))
+    for first in range(0, len(columns), _COLUMNS):
+        dense = []
+        for n, at, row in sides:
+            a, b = np.searchsorted(at, [first, first + _COLUMNS])
+            held = np.zeros((n, min(_COLUMNS, len(columns) - first)), np.float32)
+            held[row[a:b], at[a:b] - first] = 1
+            dense.append(held)
+        total += dense[0] @ dense[1].T
+    return total.astype(np.int64)
+
+
+def _joining(one: tuple, other: tuple, percent: int) -> list[tuple[int, int, int]]:
+    """(a, b, shared) of linked pairs of the sides (ids, components, sets): a forest over components,
+    which is all that their union needs."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    shared = _shared(one[2], other[2])
+    n, m = (np.array([len(s) for s in side[2]]) for side in (one, other))
+    hits = (shared > 0) & (100 * shared >= percent * (n[:, None] + m[None, :] - shared)) & (one[1][:, None] != other[1][None, :])
+    rows, cols = np.nonzero(hits)
+    _, at = np.unique(np.stack((one[1][rows], other[1][cols])), axis=1, return_index=True)
+    out = []
+    for i, j in zip(rows[at].tolist(), cols[at].tolist(), strict=True):
+        x, y = root(int(one[1][i])), root(int(other[1][j]))
+        if x != y:
+            parent[x] = y
+            a, b = sorted((int(one[0][i]), int(other[0][j])))
+            out.append((a, b, int(shared[i, j])))
+    return out
+
+
+def _between_blocks(large: DataFrame, sizes: DataFrame, texts: DataFrame, settings: dict) -> DataFrame:
+    """Step 6 of the module's description: a, b, shared, linked of pairs that join components."""
+    k, percent = settings["k"], settings["percent"]
+    hubs = large.groupBy("key").agg(F.min("id").alias("hub"))
+    families = connected_components(large.join(hubs, "key").select("id", "hub").distinct(), "id", "hub", "minhash-families")
+    members = large.select("id", "component").distinct().join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id").join(sizes, "id")
+    members = storage.materialize(members, "minhash-members")
+    need = lambda: F.greatest(F.count("*") / _BLOCK, F.sum("n_shingles") / _BLOCK_SHINGLES)
+    pools = members.groupBy("family", "component").agg(need().alias("need")).select("family", "component", F.when(F.col("need") >= 0.5, F.col("component").cast("string")).otherwise("rest").alias("pool"))
+    pooled = members.join(pools, ["family", "component"])
+    blocks = pooled.groupBy("family", "pool").agg(F.ceil(need()).alias("n"))
+    dealt = pooled.join(blocks, ["family", "pool"]).withColumn("block", F.concat_ws(":", "pool", F.pmod(F.xxhash64("id"), F.col("n"))))
+    dealt = storage.materialize(dealt.select("id", "component", "family", "pool", "block"), "minhash-blocks")
+    mine = dealt.select("family", "pool", "block").distinct()
+    other = mine.withColumnsRenamed({"pool": "pool_2", "block": "block_2"})
+    units = mine.join(other, "family").filter("block <= block_2 AND (pool = 'rest' OR pool != pool_2)")
+    units = units.select("family", F.concat_ws("/", "family", "block", "block_2").alias("unit"), F.inline(F.array(F.struct(F.col("block"), F.lit(0).alias("side")), F.struct(F.col("block_2").alias("block"), F.lit(1).alias("side")))))
+    # a block against itself is sent once
+    units = units.groupBy("family", "unit", "block").agg(F.min("side").alias("side"))
+
+    def run(table):
+        import pyarrow as pa
+
+        sides = []
+        for side in (0, 1):
+            part = table.filter(pa.compute.equal(table["side"], side))
+            sets = [s for chunk in part["text"].chunks for s in shingle_sets(chunk, k)]
+            sides.append((part["id"].to_numpy(), part["component"].to_numpy(), sets))
+        out = _joining(sides[0], sides[1] if sides[1][2] else sides[0], percent) if sides[0][2] else []
+        a, b, shared = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int64()), pa.array([True] * len(out), pa.bool_())], names=["a", "b", "shared", "linked"])
+
+    rows = dealt.select("id", "component", "family", "block").join(texts, "id").join(units, ["family", "block"])
+    return rows.select("unit", "side", "id", "component", "text").groupBy("unit").applyInArrow(run, _CONFIRMED)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
