@@ -242,6 +242,25 @@ def test_repeats_in_pieces(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(e[:5] for e in cut(rows, 64))
 
 
+def test_repeats_of_words(spark):
+    """Passages of 51 words go whatever their bytes, those of 50 stay, 400 bytes go whatever their words."""
+    long, short, wide = words(70, 51, 90), words(71, 50, 90), "é" * 200
+    own = [words(80 + i, 20, 10**6) for i in range(7)]
+    texts = [own[0] + long + own[1], own[2] + short + own[3], own[4] + [wide]]
+    texts += [own[5] + long, short + own[6], [wide], ["a"] * 51 + own[0][:3]]
+    rows = [(i, " ".join(t), "x") for i, t in enumerate(texts)] + [(7, " ".join(own[6][:9]) + " \n" + "\n".join(long), "x"), (8, " ".join(["a"] * 60), "x"), (9, None, "x")]
+    got = {r.doc_id: (r.text or "").split() for r in stages.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()}
+    plain, expected = {i: (t or "").split() for i, t, _ in rows}, {}
+    seen = collections.Counter(tuple(w[p : p + 51]) for w in plain.values() for p in range(len(w) - 50))
+    for i, w in plain.items():
+        mark = [x == wide for x in w]
+        for p in range(len(w) - 50):
+            if seen[tuple(w[p : p + 51])] > 1:
+                mark[p : p + 51] = [True] * 51
+        expected[i] = [x for x, m in zip(w, mark, strict=True) if not m]
+    assert got == expected and got[0] == own[0] + own[1] and got[1] == plain[1] and got[2] == own[4]
+
+
 def test_decontamination(spark, docs, rows):
     items = [(1, " ".join(words(0, 120)[20:50])), (2, " ".join(words(1, 120)[:20] + ["z"] * 20)), (3, None), (4, "one"), (5, "ONE two"), (None, "one"), (6, " ".join(words(7, 30000)[500:540]))]
     got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))

@@ -20,6 +20,9 @@ Fingerprints have 64 bits for the trigger and 64 for the phrase. Groups are coun
 joins that bring counts back to occurrences can be split by adaptive execution, as their small sides
 are written tables. Positions of a text are gathered only for that text.
 
+The same holds for windows of words (maximal runs of bytes that aren't white space, case counted,
+whatever white space lies between them): a word's hash then stands for a byte.
+
 Edge cases: a null text is empty; texts shorter than ``length`` have no repeats; a text that occurs
 in two rows repeats as a whole, also if both rows have the same id; a period shorter than the window
 makes windows repeat within one text; very long texts are parsed in pieces, which only cuts phrases;
@@ -30,13 +33,14 @@ an empty table gives no rows; further columns are ignored by ``find_repeats`` an
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import storage
-from .shingles import _power_tables, mix64, text_bytes
+from .shingles import _power_tables, mix64, text_bytes, word_hashes
 
 _U = np.uint64
 _BYTE = np.random.default_rng(5).integers(1, 2**64, 256, dtype=np.uint64)
@@ -44,6 +48,7 @@ _PLACE_BITS = 24
 #: Windows parsed at once.
 _PIECE = 1 << 20
 _PARSE = "key long, s int, e int, trigger long, phrase long"
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _RANGES = "array<struct<s:int,e:int>>"
 
 
@@ -59,11 +64,12 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def parse(raw: np.ndarray, offsets: np.ndarray, length: int, k: int):
     """Phrases of pieces of text that lie one after the other: piece, first and last window
-    (relative to the piece), fingerprint of the trigger, fingerprint of the phrase."""
+    (relative to the piece), fingerprint of the trigger, fingerprint of the phrase. ``raw``: bytes,
+    or 64-bit hashes of words."""
     n = len(raw)
     power, inverse = _power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * power[:n], out=total[1:])
+    np.cumsum((_BYTE[raw] if raw.dtype == np.uint8 else raw) * power[:n], out=total[1:])
     hashes = mix64((total[k:] - total[:-k]) * inverse[: n - k + 1])
     place = _U((1 << _PLACE_BITS) - 1)
     trigger = (_sliding_min((hashes & ~place) | np.arange(len(hashes), dtype=np.uint64), length - k + 1) & place).astype(np.int64)
@@ -89,7 +95,7 @@ def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _parser(length: int, k: int, ranged: bool):
+def _parser(length: int, k: int, ranged: bool, by_words: bool):
     """Arrow function over (key, text[, ranges]): the windows of the ranges, or all windows."""
 
     def run(batches):
@@ -106,6 +112,8 @@ def _parser(length: int, k: int, ranged: bool):
         parts, where, held = [], [], 0
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
+            if by_words:
+                raw, offsets = word_hashes(raw, offsets, _BYTE)
             for row, key in enumerate(batch.column(0).to_pylist()):
                 text = raw[offsets[row] : offsets[row + 1]]
                 last = len(text) - length
@@ -140,12 +148,12 @@ def _classes(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return repeated, live.join(ones, ["trigger", "phrase", "key"]).select("key", "s", "e")
 
 
-def find_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, *, length: int = 400, by_words: bool = False, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, ranges of windows that repeat) of every text that has any, and (_key, _text) of the
-    texts in question, both in the shared folder."""
+    texts in question, both in the shared folder. Windows are ``length`` bytes, or words."""
     texts = keyed(docs, id_col, text_col).select("_key", "_text")
     levels = [length // 2, length - length // 16, length]
-    parsed = storage.materialize(texts.filter(F.octet_length("_text") >= length).mapInArrow(_parser(length, levels[0], False), _PARSE), "repeat-first-parse")
+    parsed = storage.materialize(texts.filter(F.octet_length("_text") >= length).mapInArrow(_parser(length, levels[0], False, by_words), _PARSE), "repeat-first-parse")
     repeated, again = _classes(parsed)
     found = [storage.materialize(repeated, "repeat-ranges")]
     again = storage.materialize(again, "repeat-again")
@@ -154,7 +162,7 @@ def find_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id",
     for k in levels[1:]:
         ranges = again.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
         rows = held.join(ranges, held._key == ranges.key).select("key", "_text", "ranges")
-        parsed = storage.materialize(rows.mapInArrow(_parser(length, k, True), _PARSE), "repeat-parse-again")
+        parsed = storage.materialize(rows.mapInArrow(_parser(length, k, True, by_words), _PARSE), "repeat-parse-again")
         repeated, again = _classes(parsed)
         found.append(storage.materialize(repeated, "repeat-ranges"))
         again = storage.materialize(again, "repeat-again")
@@ -162,8 +170,14 @@ def find_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id",
     return storage.materialize(everything.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "repeat-spans"), held
 
 
-def _cut(length: int, rows: DataFrame, with_text: bool) -> DataFrame:
-    """Over (_key, _text, ranges): n_removed, n_spans and the digest, or the text, of what is left."""
+def _word_spans(raw: bytes, ranges: list[dict], words: int) -> list[tuple[int, int]]:
+    """The bytes from the first to the last word of each range."""
+    at = [m.span() for m in _WORD.finditer(raw)]
+    return [(at[s][0], at[e + words - 1][1]) for s, e in _merged(ranges)]
+
+
+def _cut(length: int, rows: DataFrame, with_text: bool, words: int = 0) -> DataFrame:
+    """Over (_key, _text, ranges[, ranges of windows of ``words`` words]): n_removed, n_spans and the digest, or the text, of what is left."""
     schema = f"_key long, n_removed long, n_spans long, {'kept string' if with_text else 'kept_sha256 string'}"
 
     def run(batches):
@@ -171,10 +185,11 @@ def _cut(length: int, rows: DataFrame, with_text: bool) -> DataFrame:
 
         for batch in batches:
             out = []
-            for key, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for key, text, ranges, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 spans: list[list[int]] = []
-                for s, e in sorted((r["s"], r["e"] + length) for r in ranges or ()):
+                found = [(r["s"], r["e"] + length) for r in ranges or ()] + (_word_spans(raw, more[0], words) if more and more[0] else [])
+                for s, e in sorted(found):
                     if spans and s <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], e)
                     else:
@@ -200,11 +215,17 @@ def repeat_digests(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
     return out.select(id_col, "n_bytes", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")], F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"))
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 400, words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every repeated byte taken out of ``text_col``; characters of which only a part
-    repeats go as a whole. A text without repeats, or null, stays as it is."""
+    repeats go as a whole. A text without repeats, or null, stays as it is. With ``words``, passages
+    of so many words that repeat go too, however few bytes they have."""
     ranges, held = find_repeats(docs, length=length, id_col=id_col, text_col=text_col)
-    cut = storage.materialize(_cut(length, held.join(ranges, held._key == ranges.key).select("_key", "_text", "ranges"), True).select("_key", F.col("kept").alias("_kept")), "repeat-cut")
+    if words:
+        more, also = find_repeats(docs, length=words, by_words=True, id_col=id_col, text_col=text_col)
+        ranges = ranges.join(more.withColumnRenamed("ranges", "word_ranges"), "key", "full")
+        held = held.unionByName(also).dropDuplicates(["_key"])
+    rows = held.join(ranges, held._key == ranges.key).select("_key", "_text", "ranges", *["word_ranges"] * bool(words))
+    cut = storage.materialize(_cut(length, rows, True, words).select("_key", F.col("kept").alias("_kept")), "repeat-cut")
     joined = keyed(docs, id_col, text_col).join(cut, "_key", "left")
     return joined.withColumn(text_col, F.coalesce("_kept", text_col)).select(*docs.columns)
 

@@ -56,9 +56,9 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word in order, and for each text the index of its first word (one more at the
-    end)."""
+    end). ``table``: a number for each byte."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -76,7 +76,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
     power, inverse = _power_tables(n)
     running = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * power[:n], out=running[1:])
+    np.cumsum(table[raw] * power[:n], out=running[1:])
     hashes = mix64((running[ends] - running[starts]) * inverse[starts])
     return hashes, np.searchsorted(starts, offsets)
 

@@ -26,9 +26,9 @@ def drop_near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_c
     return with_id.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
 
 
-def cut_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """Texts without the bytes of repeated passages; ``chars_col``, if there, follows."""
-    cut = remove_repeats(docs, length=length, id_col=id_col, text_col=text_col)
+def cut_repeats(docs: DataFrame, *, length: int = 400, words: int = 51, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """Texts without the bytes of repeated passages, those of ``length`` bytes or of ``words`` words; ``chars_col``, if there, follows."""
+    cut = remove_repeats(docs, length=length, words=words, id_col=id_col, text_col=text_col)
     return cut.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else cut
 
 
