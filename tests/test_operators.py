@@ -2,6 +2,7 @@
 
 import os
 from datetime import date
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,15 @@ def test_negative_sampling(spark):
     assert {r.customer_key for r in out} == {1, 2} and sum(r.label for r in out) == 2 and len(out) == 12
 
 
+def test_registered_ranker_has_the_defaults(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(ranking, "build_training_set", lambda cat, as_of, **settings: seen.update(settings))
+    monkeypatch.setattr(ranking, "predict_week", lambda cat, as_of, score, **settings: seen.update(settings))
+    monkeypatch.setattr(ranking.PointwiseGbt, "fit", lambda self, rows: seen.update(self.settings) or self)
+    queries._ranker(SimpleNamespace(cat=None))
+    assert seen == ranking.PointwiseGbt().settings
+
+
 def test_parity_of_lists_and_percentiles(spark):
     a = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "customer_key long, article_id int, pos long")
     b = spark.createDataFrame([(1, 6, 1), (1, 7, 2)], "customer_key long, article_id int, pos long")

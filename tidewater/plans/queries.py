@@ -136,17 +136,17 @@ def _als(x: _Context) -> DataFrame:
     return baselines.recommend_als(baselines.fit_als(ratings, rank=16, iterations=5), users, items, x.pop, 50)
 
 
-def _trained(x: _Context, trees: int) -> ranking.PointwiseGbt:
+def _trained(x: _Context, **settings) -> ranking.PointwiseGbt:
     week = AS_OF - timedelta(days=7)
-    return ranking.PointwiseGbt(trees=trees, depth=3).fit(ranking.build_training_set(x.cat, week, n_candidates=100))
+    return ranking.PointwiseGbt(**settings).fit(ranking.build_training_set(x.cat, week))
 
 
 def _ranker(x: _Context) -> DataFrame:
-    return ranking.predict_week(x.cat, AS_OF, _trained(x, 5).score, n_candidates=100)
+    return ranking.predict_week(x.cat, AS_OF, _trained(x).score)
 
 
 def _tree_sweep(x: _Context) -> DataFrame:
-    return ranking.tree_sweep(x.cat, _trained(x, 3), AS_OF - timedelta(days=7), AS_OF, [1, 3])
+    return ranking.tree_sweep(x.cat, _trained(x, trees=3), AS_OF - timedelta(days=7), AS_OF, [1, 3])
 
 
 _QUERIES: dict[str, Callable[[_Context], DataFrame]] = {
