@@ -197,7 +197,7 @@ def test_shared_and_null_ids(spark):
     docs = spark.createDataFrame([(1, a), (1, b), (2, b), (None, a), (None, None)], "doc_id long, text string")
     got = sorted(minhash.near_duplicates(docs).collect(), key=repr)
     assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 1, False), (None, None, True)}
-    assert stages.drop_near_duplicates(docs).count() == 3
+    assert stages.drop_near_duplicates(docs).count() == 4 == stages.drop_near_duplicates(docs.unionByName(docs.filter("doc_id = 2"))).count()
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -226,7 +226,7 @@ def test_repeats(spark, docs, rows, length):
     few = [(i, t[:4000] if t else t) for i, t in rows]
     frame = spark.createDataFrame([(i, t, "x") for i, t in few], "doc_id long, text string, key string")
     expected = cut(few, length)
-    assert sorted(map(tuple, repeats.repeat_digests(frame, length=length).collect())) == sorted(e[:5] for e in expected)
+    assert sorted(tuple(r)[:5] for r in repeats.repeat_digests(frame, length=length).collect()) == sorted(e[:5] for e in expected)
     texts = {r.doc_id: r.text for r in repeats.remove_repeats(frame, length=length).collect()}
     for (i, text), e in zip(few, expected, strict=True):
         assert texts[i] == (text if not e[2] else e[5].decode(errors="ignore"))
@@ -239,7 +239,51 @@ def test_repeats_in_pieces(spark, monkeypatch):
     base = "".join(rng.choice("abcde ") for _ in range(900))
     rows = [(1, base), (2, "zz" + base[50:700] + "y"), (3, base[::-1] + base[100:300])]
     got = repeats.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string"), length=64)
-    assert sorted(map(tuple, got.collect())) == sorted(e[:5] for e in cut(rows, 64))
+    assert sorted(tuple(r)[:5] for r in got.collect()) == sorted(e[:5] for e in cut(rows, 64))
+
+
+@pytest.mark.parametrize("by_words", [False, True])
+def test_suffix_order_against_brute_force(by_words):
+    """Windows that repeat between contexts of one anchor, as the two suffix arrays find them."""
+    rng = np.random.default_rng(11)
+    for trial in range(60):
+        length = int(rng.integers(4, 30))
+        anchors, symbols, before, windows = [], [], [], []
+        for anchor in range(int(rng.integers(1, 5))):
+            core = rng.integers(0, 2, 2 * length)
+            for _ in range(int(rng.integers(1, 9))):
+                x, b = core.copy(), length // 2
+                for at in rng.integers(0, len(core), int(rng.integers(0, 3))):
+                    x[at] = rng.integers(0, 3)
+                a, n = int(rng.integers(0, b)), int(rng.integers(1, b + 1))
+                n = min(n, b - a + 1)
+                anchors.append(anchor), symbols.append((x[a : a + n - 1 + length]).astype(np.uint64 if by_words else np.uint8)), before.append(b - a), windows.append(n)
+        got = repeats.repeated_windows(np.array(anchors), symbols, np.array(before), np.array(windows), length).tolist()
+        seen = collections.Counter((a, x[p : p + length].tobytes(), b - p) for a, x, b, n in zip(anchors, symbols, before, windows, strict=True) for p in range(n))
+        assert got == [seen[a, x[p : p + length].tobytes(), b - p] > 1 for a, x, b, n in zip(anchors, symbols, before, windows, strict=True) for p in range(n)], trial
+
+
+@pytest.mark.parametrize("group", [1, 3])
+def test_repeats_of_crowded_anchors(spark, monkeypatch, group):
+    """Anchors with more contexts than are ordered in a task: a passage in many surroundings."""
+    monkeypatch.setattr(repeats, "_GROUP", group)
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = make(150), make(90)
+    rows = [(i, make(40) + passage[rng.randrange(30) :] + make(30)) for i in range(9)] + [(20 + i, make(20) + other + make(i * 9)) for i in range(7)] + [(40, passage), (41, None), (42, "ab" * 60), (43, "x" * 70)]
+    got = repeats.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string"), length=64)
+    assert sorted(tuple(r)[:5] for r in got.collect()) == sorted(e[:5] for e in cut(rows, 64))
+
+
+def test_repeats_of_rows_with_shared_ids_and_names(spark):
+    """Rows that share an id, null ids, and columns named like those inside."""
+    a, b = " ".join(words(61, 90, 10**6)), " ".join(words(62, 90, 10**6))
+    rows = [(1, a), (1, b), (None, a), (3, "own " + " ".join(words(63, 80, 10**6))), (None, None)]
+    frame = spark.createDataFrame([(i, t, "k", "r", 5, "q") for i, t in rows], "doc_id long, text string, key string, row string, ranges long, _kept string").withColumn("x.y", F.lit(2))
+    out = repeats.remove_repeats(frame, length=64)
+    assert out.columns == frame.columns
+    got = sorted(((r.doc_id, r.text, r.key, r.ranges, r._kept) for r in out.collect()), key=repr)
+    assert got == sorted(((i, "" if t == a else t, "k", 5, "q") for i, t in rows), key=repr)
 
 
 def test_repeats_of_words(spark):
@@ -277,12 +321,42 @@ def test_decontamination(spark, docs, rows):
     assert set(map(tuple, got.collect())) == expected and expected
 
 
-def test_minhash_values_suffice():
-    """An item that lacks a fifth of its shingles keeps a MinHash value, whatever it lacks."""
-    for n in range(1, 200):
-        upper = 2 ** int(np.ceil(np.log2(n)))
-        keep = upper - int(np.ceil(80 * upper / 100)) + 1
-        assert min(keep, n) > n - -(-80 * n // 100) or keep >= n
+def test_minhash_values_suffice(spark):
+    """An item that lacks a fifth of its shingles keeps as many MinHash values as are asked for, whatever
+    it lacks."""
+    items = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n + 4))) for n in range(1, 140)], "item_id long, text string")
+    found = decontaminate.sketches(decontaminate.item_shingles(items, k=5), 80).groupBy("item_id", "upper", "needed").agg(F.count("*").alias("kept")).collect()
+    assert len(found) == 139
+    for r in found:
+        n, lacking = r.item_id, r.item_id - -(-80 * r.item_id // 100)
+        assert r.upper == 2 ** int(np.ceil(np.log2(n))) and 1 <= r.needed <= r.kept - lacking
+        assert r.kept == n or (r.needed >= decontaminate.HITS and r.kept < n)
+
+
+def test_decontamination_searches_by_sketches(spark, docs, monkeypatch):
+    """Without MinHash values nothing is found, and one shared shingle makes no candidate."""
+    items = spark.createDataFrame([(1, " ".join(words(0, 120)[20:50])), (2, " ".join(words(1, 120)[:5] + [f"z{i}" for i in range(40)]))], "item_id long, text string")
+    shingled = decontaminate.item_shingles(items, k=5)
+    values = decontaminate.sketches(shingled, 80)
+    assert values.count() < shingled.agg(F.sum("n")).first()[0]
+    assert {r.item_id for r in decontaminate.candidates(docs, values, [5], id_col="doc_id", text_col="text", block_values=3).collect()} == {1}
+    assert decontaminate.contaminated(docs, items, block_values=5).count() > 0
+    real = decontaminate.sketches
+    monkeypatch.setattr(decontaminate, "sketches", lambda *a: real(*a).limit(0))
+    assert decontaminate.contaminated(docs, items).count() == 0
+
+
+def test_decontamination_edges(spark, docs):
+    """Repeated ids add up, ties at the threshold count, clashing columns and empty tables do no harm."""
+    text = [f"w{i}" for i in range(14)]  # ten shingles of five words
+    rows = [(1, " ".join(text[:9])), (1, " ".join(text[8:])), (2, " ".join(text[:12])), (3, " ".join(text[:11])), (4, " ".join(text)), (4, " ".join(text)), (None, " ".join(text))]
+    frame = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], "doc_id long, text string, _words string, item_id string, n long").withColumn("a.b", F.lit(1))
+    items = spark.createDataFrame([(7, " ".join(text), "c")], "item_id long, text string, shingles string")
+    assert sorted(map(tuple, decontaminate.contaminated(frame, items).collect())) == [(2, 7, 10, 8), (4, 7, 10, 10)]
+    assert decontaminate.contaminated(frame.limit(0), items).count() == 0
+    assert decontaminate.contaminated(frame, items.limit(0)).count() == 0
+    kept = stages.drop_contaminated(frame, items)
+    assert kept.columns == frame.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1, 3]
 
 
 def plain_measures(text):
@@ -310,9 +384,35 @@ def test_quality(spark, docs, rows):
 
 
 def test_rule_order(spark):
-    frame = quality.measure(spark.createDataFrame([(i, "### " * 60) for i in range(200)], "doc_id long, text string"))
-    rules = [quality.Rule("never", F.col("n_words") < 0), quality.Rule("always", F.col("n_words") > 0)]
-    assert [r.name for r in quality.order_rules(frame, rules)] == ["always", "never"]
+    rows, measures = quality._measured(quality._packed(spark.createDataFrame([(i, "### " * 60) for i in range(200)], "doc_id long, text string"), "text"))
+    rules = [quality.Rule("never", lambda m: m["n_words"] < 0), quality.Rule("always", lambda m: m["n_words"] > 0)]
+    assert [r.name for r in quality.order_rules(rows, measures, rules)] == ["always", "never"]
+
+
+def test_rule_cost_holds_its_measures(spark):
+    """Of two rules that reject alike, that which has to measure more comes later."""
+    texts = spark.createDataFrame([(" ".join(words(s, 4000, 10**6)),) for s in range(300)], "text string")
+    dear = quality.Rule("dear", lambda m: m["n_symbols"] + m["n_dup_lines"] + m["n_repeat_words"] + m["word_chars"] > 0)
+    cheap = quality.Rule("cheap", lambda m: m["n_words"] > 0)
+    rows, measures = quality._based(quality._packed(texts, "text"))
+    assert [r.name for r in quality.order_rules(storage.materialize(rows, "sample"), measures, [dear, cheap])] == ["cheap", "dear"]
+
+
+def test_quality_order_never_changes_a_verdict(spark, docs):
+    rules = quality.default_rules()
+    expected = {(r.doc_id, r.text) for r in quality.judge(docs.select("doc_id", "text")).filter("kept").collect()}
+    for some in itertools.islice(itertools.permutations(rules), 0, 24, 7):
+        rows, measures = quality._based(quality._packed(docs, "text"))
+        assert {(r["_in0"], r["_in1"]) for r in rows.filter(quality._cascade(list(some), measures)).collect()} == expected
+
+
+def test_quality_of_clashing_columns(spark):
+    rows = [(1, "good text here " * 40 + " ".join(words(5, 90)), "a"), (2, None, "b"), (3, "", "c")]
+    frame = spark.createDataFrame([(i, t, c, c, c, 7, c) for i, t, c in rows], "doc_id long, text string, _text string, _words string, _row string, kept long, `a.b` string")
+    got = {r.doc_id: r for r in quality.judge(frame).collect()}
+    assert [got[i]["_text"] + got[i]["_row"] + got[i]["a.b"] for i in (1, 2, 3)] == ["aaa", "bbb", "ccc"] and got[1].kept is False
+    stays = quality.accepted(spark.createDataFrame([(9, " ".join(words(5, 90)), "x", 3)], "doc_id long, text string, _text string, kept long"))
+    assert [tuple(r)[2:] for r in stays.collect()] == [("x", 3)]
 
 
 def test_language(spark):
@@ -331,7 +431,7 @@ def test_language(spark):
         if lang == "fr" and zlib.crc32(str(i).encode()) % 5:
             for w in re.findall(r"[^\W\d_]+", text.lower()):
                 counts.update(g for g in (f"_{w}_"[p : p + n] for n in (1, 2, 3) for p in range(len(w) + 3 - n)) if g != "_")
-    code = lambda g: sum((1 if c == "_" else ord(c)) << (10 * (len(g) - 1 - k)) for k, c in enumerate(g))
+    code = lambda g: sum((1 if c == "_" else ord(c)) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
     assert profiles["fr"].tolist() == [g for _, g in sorted((-n, code(g)) for g, n in counts.items())][: language.PROFILE]
     got = {r.doc_id: r for r in language.predict(docs, profiles, id_col="doc_id", text_col="text").collect()}
     assert sum(got[i].lang_pred == lang for i, _, lang in rows[:120]) >= 117
@@ -339,6 +439,43 @@ def test_language(spark):
     assert language.predict(docs, {}, id_col="doc_id", text_col="text").filter("lang_pred != 'und'").count() == 0
 
 
+def plain_prediction(text, profiles, size):
+    """Out-of-place distance of each language, in plain Python."""
+    counts = collections.Counter()
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        counts.update(g for g in (f"\1{w}\1"[p : p + n] for n in (1, 2, 3) for p in range(len(w) + 3 - n)) if g != "\1")
+    mine = [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0]))][:size]
+    if not mine:
+        return "und", 0.0
+    spelt = lambda code: "".join(chr(code >> 21 * k & 0x1FFFFF) for k in (2, 1, 0)).lstrip("\0")
+    best = []
+    for name, codes in profiles.items():
+        place = {spelt(c): i for i, c in enumerate(codes.tolist())}
+        best.append((sum(min(abs(place[g] - i), size) if g in place else size for i, g in enumerate(mine)), name))
+    distance, name = min(best)
+    return name, 1 - distance / (len(mine) * size)
+
+
+def test_language_of_any_script(spark):
+    """Every prediction against plain Python: ties, repeated rows, letters of all planes, clashing columns."""
+    rng = random.Random(3)
+    scripts = {"cjk": "日月火水木金土山川田人口目手足", "far": "".join(chr(0x32000 + i) for i in range(20)), "gr": "αβγδεζηθικλμνξοπ", "la": "abcdefghijklmnop"}
+    make = lambda s, n: " ".join("".join(rng.choices(s, k=rng.randrange(1, 7))) for _ in range(n))
+    rows = [(i, make(s, 40), lang) for lang, s in scripts.items() for i in range(ord(lang[0]) * 100, ord(lang[0]) * 100 + 12)]
+    rows += [(9001, chr(0x32000) * 5, "far"), (9002, "Ω", None), (9003, "5 !", "gr"), (9004, "日a β", None), (9005, "ǅ İ ß", "la"), (9001, chr(0x32000) * 5, "far"), (9006, "", None), (9007, "𝒳 ﬁ ٣", None)]
+    docs = spark.createDataFrame([(i, t, lang, "x", 1.5) for i, t, lang in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    profiles = language.train_profiles(docs, lang_col="lang", text_col="text")
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.predict(docs, profiles, id_col="doc_id", text_col="text").collect())
+    usual = [t for i, t, _ in rows if i not in (9005, 9007)]
+    for (i, name, score), (j, t, lang) in zip(got, sorted(rows, key=lambda r: (r[0], r[1])), strict=True):
+        if t in usual:
+            assert (i, name, score) == (j, *(lambda p: (p[0], round(p[1], 9)))(plain_prediction(t, profiles, language.PROFILE)))
+        assert i > 9000 or name == lang
+    assert next(p for i, p, _ in got if i == 9001) == "far" and next(p for i, p, _ in got if i == 9005) != "und"
+    empty = docs.limit(0)
+    assert language.train_profiles(empty, lang_col="lang", text_col="text") == {} and language.predict(empty, profiles, id_col="doc_id", text_col="text").count() == 0
+
+
 def test_license(spark):
     files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "code"), (3, "a/b/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), (4, "z.py", None), (5, None, "x"), (6, "a/b/c/COPYING", "Licensed under CC BY-NC 4.0"), (7, "a/q.py", ""), (8, "ab/q.py", "the license is in the code")]
     got = {r.doc_id: (r.license, r.origin, r.licensed_dir) for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
@@ -356,31 +493,59 @@ def test_url_rules(spark):
     }
 
 
+def plain_threshold(accepted, rejected):
+    """The middle gap among those that separate best, on steps of 0.01."""
+    a, r = (collections.Counter(int(np.floor(x / 0.01)) for x in xs) for xs in (accepted, rejected))
+    bins = sorted({*a, *r})
+    edges = [(bins[0] - 1, bins[0]), *itertools.pairwise(bins), (bins[-1], bins[-1] + 1)]
+    values = [(sum(n for b, n in a.items() if b >= hi) / a.total() + sum(n for b, n in r.items() if b < hi) / r.total(), (lo + 1 + hi) / 2) for lo, hi in edges]
+    best = [w for v, w in values if v > max(values)[0] - 1e-9]
+    return best[len(best) // 2] * 0.01
+
+
 def test_url_model(spark):
-    """Scores against a plain Witten-Bell model."""
+    """Scores, threshold and verdicts against a plain Witten-Bell model, with clashing columns, repeated
+    and very long URLs."""
     rng = random.Random(5)
     made = [f"http://{rng.choice(['good', 'nice'])}{rng.randrange(99)}.net/de/{rng.randrange(99)}" for _ in range(60)] + [f"http://{rng.choice(['spam', 'pills'])}{rng.randrange(99)}.org/es/{rng.randrange(99)}" for _ in range(60)] + ["http://good7.info/x", "http://spam3.info/x"]
-    got = {r.url: r for r in url_filter.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(made)], "page_id long, url string")).collect()}
-    texts = sorted({u.split("://")[1] for u in made})
-    ids = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    made += ["http://nice.info/" + "good/" * 4000, "http://spam3.info/x", "http://good7.info/x", "bad", "", None, "http://X.NET/DE/4"]
+    pages = spark.createDataFrame([(i, u, "a", 3, "b", "c", "d") for i, u in enumerate(made)], "page_id long, url string, score string, text long, _id string, by_rule string, `a.b` string")
+    out = url_filter.filter_urls(pages)
+    assert out.columns == ["page_id", "url", "text", "_id", "by_rule", "a.b", "host", "path", "rule", "verdict", "score"]
+    rows = out.collect()
+    assert {(r.text, r["_id"], r.by_rule, r["a.b"]) for r in rows} == {(3, "b", "c", "d")} and len(rows) == len(made)
+    got = {r.url: r for r in rows}
+    text = lambda u: (u.split("://", 1)[-1] if u else "").translate({c: c + 32 for c in range(65, 91)})
+    labels = {text(u): "allow" if ".net/de/" in u else "block" for u in made if u and (".net/de/" in u or ".org/es/" in u)}
+    ids = {r.t: r.h for r in spark.createDataFrame([(text(u),) for u in made], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
     order = url_filter.ORDER
-    grams = {"net/de": collections.Counter(), "org/es": collections.Counter()}
     windows = lambda t: [s[i : i + order + 1] for s in ["\2" * order + t + "\3"] for i in range(len(s) - order)]
-    for t in texts:
-        for kind, c in grams.items():
-            if kind.split("/")[0] in t.split("/")[0] and ids[t] % 5:
-                c.update(w[-k - 1 :] for w in windows(t) for k in range(order + 1))
-
-    def logp(c, w):
+    grams = {"allow": collections.Counter(), "block": collections.Counter()}
+    for t, label in labels.items():
+        if ids[t] % 5:
+            grams[label].update(w[-k - 1 :] for w in windows(t) for k in range(order + 1))
+    after = {kind: collections.defaultdict(list) for kind in grams}
+    for kind, c in grams.items():
+        for g, n in c.items():
+            after[kind][g[:-1], len(g)].append(n)
+
+    def logp(kind, w):
         p = 1 / 256
         for k in range(order + 1):
             g = w[-k - 1 :]
-            after = {x: n for x, n in c.items() if len(x) == k + 1 and x[:-1] == g[:-1]}
-            total = sum(after.values())
-            p = (c[g] + len(after) * p) / (total + len(after)) if total else p
+            follow = after[kind][g[:-1], k + 1]
+            p = (grams[kind][g] + len(follow) * p) / (sum(follow) + len(follow)) if follow else p
         return np.log(p)
 
-    for u in ("http://good7.info/x", "http://spam3.info/x"):
-        w = windows(u.split("://")[1])
-        assert got[u].score == pytest.approx(np.mean([logp(grams["net/de"], x) - logp(grams["org/es"], x) for x in w]), abs=1e-6)
+    score = lambda t: np.mean([logp("allow", x) - logp("block", x) for x in windows(t)])
+    held = {t: score(t) for t in labels if not ids[t] % 5}
+    threshold = plain_threshold([s for t, s in held.items() if labels[t] == "allow"], [s for t, s in held.items() if labels[t] == "block"])
+    for u in made:
+        t = text(u)
+        if got[u].rule is None:
+            assert got[u].score == pytest.approx(score(t) if t else 0.0, abs=1e-6), u
+            assert got[u].verdict == ("allow" if not t or score(t) >= threshold else "block"), u
+        else:
+            assert got[u].score is None and got[u].verdict == labels[t]
     assert (got["http://good7.info/x"].verdict, got["http://spam3.info/x"].verdict) == ("allow", "block")
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0

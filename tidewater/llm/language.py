@@ -12,7 +12,9 @@ shuffled, and a gram's row carries a count, so a language that holds most of the
 more than another. Profiles (``PROFILE`` rows a language) are all that the driver and the scoring
 tasks hold.
 
-Letters above U+024F share 432 codes by hash, which keeps grams at 30 bits; scripts stay apart.
+Letters are code points (``str.isalpha``) of any plane, 21 bits each, so grams of all scripts are told
+apart. Within a slice of texts the letters that occur are numbered in order, which keeps a gram and the
+number of its text in one 64-bit key.
 
 Edge cases: a null text, or one without letters, is ``und`` with score 0, as is every text if there
 is nothing to learn from; grams of equal count rank by code; rows may repeat; a row with a null id
@@ -28,41 +30,57 @@ from . import storage
 
 PROFILE = 400
 _SLICE_BYTES, _SLICE_ROWS = 1 << 20, 2_000
-_BITS, _HASHED_FROM = 10, 0x250
+#: Bits of a code point.
+_POINT = 21
 _table: list[np.ndarray] = []
 
 
 def _letter_codes() -> np.ndarray:
-    """Code point -> 10-bit code of its lower-case letter, or 1 (boundary). Code 0 means no
-    character."""
+    """Code point -> that of its lower-case letter, or 1 (boundary). Code 0 means no character."""
     if not _table:
-        codes = np.ones(0x110000, dtype=np.uint64)
-        for cp in range(0x30000 + 0x2000):
+        codes = np.ones(0x110000, dtype=np.uint32)
+        for cp in range(0x110000):
             ch = chr(cp)
             if ch.isalpha():
-                low = ch.lower()
-                at = ord(low[0])
-                codes[cp] = at if at < _HASHED_FROM else _HASHED_FROM + at * 2654435761 % 2**32 % ((1 << _BITS) - _HASHED_FROM)
+                codes[cp] = ord(ch.lower()[0])
         _table.append(codes)
     return _table[0]
 
 
-def grams(texts: list[str]) -> np.ndarray:
-    """(index of the text << 30 | gram) of every gram, in no particular order."""
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(index of the text, gram) of every gram in one key, in no particular order; the code points that
+    letters of a gram stand for, and the bits that each takes."""
     joined = "\n".join(["", *texts]) + "\n"
-    codes = _letter_codes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
+    points = _letter_codes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
+    there = np.zeros(0x110000, dtype=bool)
+    there[points] = True
+    alphabet = np.concatenate(([0], np.flatnonzero(there))).astype(np.uint64)  # 1 is always there
+    width = int(len(alphabet)).bit_length()
+    number = np.zeros(0x110000, dtype=np.uint32)
+    number[alphabet.astype(np.int64)] = np.arange(len(alphabet), dtype=np.uint32)
+    codes = number[points].astype(np.uint64)
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths) << np.uint64(3 * _BITS)
+    if 3 * width + len(texts).bit_length() > 64:
+        raise ValueError("too many texts for one call")
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths) << np.uint64(3 * width)
     a, b = codes[:-1], codes[1:]
     letter = a != 1
     one = (owner | a)[letter]
     pair = letter | (b != 1)
-    bits = np.uint64(_BITS)
+    bits = np.uint64(width)
     both = (a << bits) | b
     two = (owner | both)[pair]
     middle = letter[1:]
     three = (owner[:-1] | (both[:-1] << bits) | b[1:])[middle]
-    return np.concatenate((one, two, three))
+    return np.concatenate((one, two, three)), alphabet, width
+
+
+def _global(gram: np.ndarray, alphabet: np.ndarray, width: int) -> np.ndarray:
+    """Grams in code points, in the same order."""
+    mask, out = np.uint64((1 << width) - 1), np.zeros(len(gram), dtype=np.uint64)
+    for k in range(3):
+        out |= alphabet[((gram >> np.uint64(k * width)) & mask).astype(np.int64)] << np.uint64(k * _POINT)
+    return out
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +102,9 @@ def train_profiles(training: DataFrame, *, lang_col: str, text_col: str, size: i
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     by_lang.setdefault(lang, []).append(text)
                 for lang, texts in by_lang.items():
-                    keys, counts = _counted(grams(["\n".join(texts)]))
+                    keys, alphabet, width = grams(["\n".join(texts)])
+                    keys, counts = _counted(keys)
+                    keys = _global(keys, alphabet, width)
                     if lang in totals:
                         keys, inverse = np.unique(np.concatenate((totals[lang][0], keys)), return_inverse=True)
                         counts = np.bincount(inverse, np.concatenate((totals[lang][1], counts))).astype(np.int64)
@@ -104,16 +124,22 @@ def train_profiles(training: DataFrame, *, lang_col: str, text_col: str, size: i
 def score_texts(texts: list[str], profiles: dict[str, np.ndarray], size: int = PROFILE) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     n, names = len(texts), list(profiles)
-    keys, counts = _counted(grams(texts))
-    # by text, then count from high to low, then gram: one sort of packed keys
-    shift = np.uint64(3 * _BITS)
+    keys, alphabet, width = grams(texts)
+    keys, counts = _counted(keys)
+    shift = np.uint64(3 * width)
     owner, gram = keys >> shift, keys & ((np.uint64(1) << shift) - np.uint64(1))
-    order = np.lexsort((gram, -counts, owner)) if len(counts) and (counts.max() >= 1 << 22 or n > 1 << 11) else np.argsort((owner << np.uint64(52)) | ((np.uint64((1 << 22) - 1) - counts.astype(np.uint64)) << shift) | gram)
+    # by text, then count from high to low, then gram (in whose order the keys are)
+    if len(counts) and (counts.max() >= 1 << 22 or n > 1 << 11 or len(counts) >= 1 << 31):
+        order = np.lexsort((-counts, owner))
+    else:
+        falling = np.uint64((1 << 22) - 1) - counts.astype(np.uint64)
+        packed = np.sort((owner << np.uint64(53)) | (falling << np.uint64(31)) | np.arange(len(counts), dtype=np.uint64))
+        order = (packed & np.uint64((1 << 31) - 1)).astype(np.int64)
     owner, gram = owner[order].astype(np.int64), gram[order]
     starts = np.searchsorted(owner, np.arange(n + 1))
     rank = np.arange(len(owner)) - starts[owner]
     top = rank < size
-    owner, gram, rank = owner[top], gram[top], rank[top]
+    owner, gram, rank = owner[top], _global(gram[top], alphabet, width), rank[top]
     used = np.bincount(owner, minlength=n)
     if not names:
         return ["und"] * n, np.zeros(n)

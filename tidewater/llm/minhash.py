@@ -146,42 +146,45 @@ def confirm(pairs: DataFrame, texts: DataFrame, *, k: int, percent: int) -> Data
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles, component_id (smallest id reachable over pairs of texts with
     100 * shared >= percent * union) and kept (id = component_id), one row for each row of ``docs``."""
-    bands, rows = band_shape(percent / 100)
-    settings = {"k": k, "percent": percent}
-    signed = storage.materialize(sign(docs, k=k, bands=bands, rows=rows, id_col=id_col, text_col=text_col), "minhash-signed")
-    real = signed.filter("id IS NOT NULL AND n_shingles > 0")
-    same = ["set_hash_1", "set_hash_2", "n_shingles"]
-    classes = storage.materialize(real.groupBy(same).agg(F.min("id").alias("rep")), "minhash-classes")
-    members = real.join(classes, same).select("id", "rep", "n_shingles", "keys")
-    buckets = members.filter("id = rep").select("id", "n_shingles", F.explode("keys").alias("key"))
-    orders = [F.min("id").alias("c0")] + [F.min_by("id", F.xxhash64("id", F.lit(o))).alias(f"c{o}") for o in range(1, _ORDERS)]
-    centres = storage.materialize(buckets.groupBy("key").agg(F.count("*").alias("n"), *orders).filter("n > 1"), "minhash-centres")
-    shared = storage.materialize(buckets.join(centres, "key"), "minhash-buckets")
-    sizes = members.filter("id = rep").select("id", "n_shingles")
-    stars = shared.select(F.col("id").alias("b"), "n_shingles", F.explode(F.array_distinct(F.array(*[f"c{o}" for o in range(_ORDERS)]))).alias("a"))
-    pairs = storage.materialize(_possible(stars, sizes, percent), "minhash-pairs")
-    # the texts of bucket mates, the only ones that any round needs, leave the documents once; their
-    # share of the input doesn't depend on its size, so neither does the way they are joined
-    mates = storage.materialize(shared.select("id").distinct(), "minhash-mates")
-    all_texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = storage.materialize(all_texts.join(mates.hint("merge"), "id", "left_semi"), "minhash-texts")
-    tested = storage.materialize(confirm(pairs, texts, **settings), "minhash-confirmed")
-    found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
-    crowded = shared.filter("n > 2").select("id").distinct()
-    crowd = storage.materialize(members.filter("id = rep").select("id", "n_shingles", "keys").join(crowded, "id", "left_semi"), "minhash-crowd")
-    found, tested, large = _between_components(crowd, sizes, found, tested, texts, settings)
-    if large.limit(1).count():
-        more = storage.materialize(_between_blocks(large, sizes, texts, settings), "minhash-confirmed")
-        tested = tested.unionByName(more)
+    with storage.scratch(docs.sparkSession) as keep:
+        bands, rows = band_shape(percent / 100)
+        settings = {"k": k, "percent": percent}
+        signed = storage.materialize(sign(docs, k=k, bands=bands, rows=rows, id_col=id_col, text_col=text_col), "minhash-signed")
+        real = signed.filter("id IS NOT NULL AND n_shingles > 0")
+        same = ["set_hash_1", "set_hash_2", "n_shingles"]
+        classes = storage.materialize(real.groupBy(same).agg(F.min("id").alias("rep")), "minhash-classes")
+        members = real.join(classes, same).select("id", "rep", "n_shingles", "keys")
+        reps = storage.materialize(members.filter("id = rep").select("id", "n_shingles", "keys"), "minhash-reps")
+        buckets = reps.select("id", "n_shingles", F.explode("keys").alias("key"))
+        orders = [F.min("id").alias("c0")] + [F.min_by("id", F.xxhash64("id", F.lit(o))).alias(f"c{o}") for o in range(1, _ORDERS)]
+        centres = storage.materialize(buckets.groupBy("key").agg(F.count("*").alias("n"), *orders).filter("n > 1"), "minhash-centres")
+        shared = storage.materialize(buckets.join(centres, "key"), "minhash-buckets")
+        sizes = reps.select("id", "n_shingles")
+        stars = shared.select(F.col("id").alias("b"), "n_shingles", F.explode(F.array_distinct(F.array(*[f"c{o}" for o in range(_ORDERS)]))).alias("a"))
+        pairs = storage.materialize(_possible(stars, sizes, percent), "minhash-pairs")
+        # the texts of bucket mates, the only ones that any round needs, leave the documents once; their
+        # share of the input doesn't depend on its size, so neither does the way they are joined
+        mates = storage.materialize(shared.select("id").distinct(), "minhash-mates")
+        all_texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        texts = storage.materialize(all_texts.join(mates.hint("merge"), "id", "left_semi"), "minhash-texts")
+        tested = storage.materialize(confirm(pairs, texts, **settings), "minhash-confirmed")
         found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
-    if real.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
-        # rows that share an id hold their classes together
-        inner = members.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        found = connected_components(tested.filter("linked").select("a", "b").unionByName(inner), "a", "b", "minhash-components")
-    labels = classes.join(found, classes.rep == found.node, "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    out = signed.drop("keys").join(labels, same, "left")
-    out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        crowded = shared.filter("n > 2").select("id").distinct()
+        crowd = storage.materialize(reps.join(crowded, "id", "left_semi"), "minhash-crowd")
+        found, tested, large = _between_components(crowd, sizes, found, tested, texts, settings)
+        if large.limit(1).count():
+            more = storage.materialize(_between_blocks(large, sizes, texts, settings), "minhash-confirmed")
+            tested = tested.unionByName(more)
+            found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
+        if real.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+            # rows that share an id hold their classes together
+            inner = members.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+            found = connected_components(tested.filter("linked").select("a", "b").unionByName(inner), "a", "b", "minhash-components")
+        labels = classes.join(found, classes.rep == found.node, "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+        out = signed.drop("keys").join(labels, same, "left")
+        out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
+        out = out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        return keep(out, "minhash")
 
 
 def _possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -198,13 +201,14 @@ def _between_components(crowd: DataFrame, sizes: DataFrame, found: DataFrame, te
     def mixed() -> DataFrame:
         labelled = crowd.join(found, crowd.id == found.node, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
         keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low != high").select("key", "n")
-        return storage.materialize(labelled.join(keys, "key"), "minhash-mixed")
+        # written on its own, so that the join can split a key with very many members
+        return storage.materialize(labelled.join(storage.materialize(keys, "minhash-mixed-keys"), "key"), "minhash-mixed")
 
     buckets = mixed()
     for turn in range(_ROUNDS):
         small, large = buckets.filter(F.col("n") <= _SMALL), buckets.filter(F.col("n") > _SMALL)
-        mine = large.groupBy("key", "component").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))
-        centre = mine.groupBy("key").agg(F.min_by("id", F.xxhash64("component", F.lit(turn))).alias("a"))
+        mine = storage.materialize(large.groupBy("key", "component").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("id")), "minhash-drawn")
+        centre = storage.materialize(mine.groupBy("key").agg(F.min_by("id", F.xxhash64("component", F.lit(turn))).alias("a")), "minhash-drawn-centres")
         star = mine.join(centre, "key").join(sizes, "id").select(F.col("id").alias("b"), "n_shingles", "a")
         if not turn:
             other = small.select("key", F.col("id").alias("a"), F.col("component").alias("component_a"))
@@ -276,7 +280,7 @@ def _joining(one: tuple, other: tuple, percent: int) -> list[tuple[int, int, int
 def _between_blocks(large: DataFrame, sizes: DataFrame, texts: DataFrame, settings: dict) -> DataFrame:
     """Step 6 of the module's description: a, b, shared, linked of pairs that join components."""
     k, percent = settings["k"], settings["percent"]
-    hubs = large.groupBy("key").agg(F.min("id").alias("hub"))
+    hubs = storage.materialize(large.groupBy("key").agg(F.min("id").alias("hub")), "minhash-hubs")
     families = connected_components(large.join(hubs, "key").select("id", "hub").distinct(), "id", "hub", "minhash-families")
     members = large.select("id", "component").distinct().join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id").join(sizes, "id")
     members = storage.materialize(members, "minhash-members")

@@ -1,23 +1,29 @@
-"""Word shingles of many texts at once, as 64-bit hashes in numpy.
+"""Words and word shingles of many texts at once, as 64-bit hashes in numpy.
 
-Words are the maximal runs of bytes other than 0x20 and 0x09 to 0x0D, with A-Z lower-cased. A
-shingle is ``k`` successive words; a text with fewer words, but at least one, has its whole word
-sequence as its only shingle; a text without words, or a null, has none.
+Words are the maximal runs of bytes other than 0x20 and 0x09 to 0x0D, with A-Z lower-cased unless
+asked otherwise. A shingle is ``k`` successive words; a text with fewer words, but at least one, has
+its whole word sequence as its only shingle; a text without words, or a null, has none.
+
+A word's hash takes its bytes eight at a time and mixes the state with each block, so it isn't a
+polynomial in the bytes: words of one length never collide through the algebra of the hash.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]
 _COEFFICIENT = _rng.integers(0, 2**64, 64, dtype=np.uint64) | _U(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+#: Runs longer than this are hashed one by one.
+_LONG_RUN = 1024
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -29,17 +35,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0], _powers[1]
-
-
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column and the offsets of its values; nulls are empty."""
     import pyarrow as pa
@@ -56,29 +51,62 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word in order, and for each text the index of its first word (one more at the
-    end). ``table``: a number for each byte."""
+def run_hashes(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of each run ``symbols[start : start + length]``. Symbols are bytes, of which eight make a
+    block, or 64-bit values, each a block."""
+    h = mix64(lengths.astype(np.uint64) ^ mix64(np.array([seed], dtype=np.uint64)))
+    if not len(starts):
+        return h
+    if symbols.dtype == np.uint8:
+        padded = np.zeros(len(symbols) + 8, dtype=np.uint8)
+        padded[:-8] = symbols
+        blocks, step = np.ndarray((len(symbols) + 1,), "<u8", padded.data, strides=(1,)), 8
+    else:
+        blocks, step = symbols, 1
+    shortest, longest = int(lengths.min()), int(lengths.max())
+    if step == 8 and longest > _LONG_RUN:
+        for i in np.flatnonzero(lengths > _LONG_RUN):
+            run = symbols[starts[i] : starts[i] + lengths[i]].tobytes()
+            h[i] = int.from_bytes(hashlib.blake2b(run, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+        longest = _LONG_RUN
+    live = None
+    for at in range(0, longest, step):
+        if at + step <= shortest:
+            h = mix64(h ^ blocks[starts + at])
+            continue
+        live = np.flatnonzero((lengths > at) & (lengths <= longest)) if live is None else live[lengths[live] > at]
+        block = blocks[starts[live] + at]
+        if step == 8:
+            block &= _MASK[np.minimum(lengths[live] - at, 8)]
+        h[live] = mix64(h[live] ^ block)
+    return h
+
+
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word in order, and for each text the index of its first word (one more
+    at the end)."""
     n = len(raw)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     space = _SPACE[raw]
-    edge = np.empty(n + 1, dtype=bool)
-    edge[1:] = space
-    edge[0] = True
-    first = offsets[:-1][offsets[1:] > offsets[:-1]]
-    before = edge[:n].copy()
-    before[first] = True
+    full = offsets[1:] > offsets[:-1]
+    before = np.empty(n, dtype=bool)
+    before[0] = True
+    before[1:] = space[:-1]
+    before[offsets[:-1][full]] = True
     after = np.empty(n, dtype=bool)
     after[:-1] = space[1:]
     after[-1] = True
-    after[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
-    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    power, inverse = _power_tables(n)
-    running = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(table[raw] * power[:n], out=running[1:])
-    hashes = mix64((running[ends] - running[starts]) * inverse[starts])
-    return hashes, np.searchsorted(starts, offsets)
+    after[offsets[1:][full] - 1] = True
+    starts = np.flatnonzero(~space & before)
+    return starts, np.flatnonzero(~space & after) + 1, np.searchsorted(starts, offsets)
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word in order, and for each text the index of its first word (one more at the
+    end)."""
+    starts, ends, first = word_bounds(raw, offsets)
+    return run_hashes(_LOWER[raw] if lower else raw, starts, ends - starts, 1), first
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -8,32 +8,99 @@ at most an unlisted file behind.
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session; one is made only where none is set (tests)."""
+    """The shared folder of the session. One is made only where none is set and all executors are on this
+    machine (tests); on a cluster a local folder would lose files silently, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.sparkContext.setCheckpointDir(root)
     return root if "://" in root or root.startswith("file:") else f"file://{root}"
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Folders of this process, by application, and those of the scratches that are open.
+_written: dict[str, list[str]] = {}
+_open: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, name: str, *partition_by: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and the planner
-    knows the size of what comes back."""
-    path = fresh_dir(df.sparkSession, name)
-    writer = df.write.option("compression", compression)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    knows the size of what comes back. Shuffle files of the job go when it ends."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, name)
+    if _open:
+        _open[-1].append(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", compression)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is materialized inside goes at the end, but for what the given function has written:
+    ``with scratch(spark) as keep: ... result = keep(df, name)``."""
+    paths: list[str] = []
+    _open.append(paths)
+
+    def keep(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        out = materialize(df, name, *partition_by)
+        kept = paths.pop()
+        if len(_open) > 1:
+            _open[-2].append(kept)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _open.remove(paths)
+        _delete(spark, paths)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder for this application, and say how many
+    folders it was. For callers who have written or collected their results: a result is read from these
+    folders whenever it is asked for."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
+    return len(paths)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by number, so that columns can be added under any other name."""
+    return df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
+
+
+def renamed(df: DataFrame) -> list[Column]:
+    """The columns of ``numbered(df)`` under the names that they had."""
+    return [F.col(f"_in{i}").alias(c) for i, c in enumerate(df.columns)]
 
 
 def put_file(uri_dir: str, name: str, chunks) -> str:

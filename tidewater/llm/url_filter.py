@@ -9,14 +9,18 @@ number of characters. The threshold is calibrated on labelled URLs that training
 five, by hash): it is the score that separates their two classes best, as found on a histogram of
 fixed resolution.
 
-Only distinct windows of ``ORDER + 1`` characters are scored, and only distinct URLs; frequent ones
-are combined before any shuffle, and the join that brings window scores back to URLs leaves its
-strategy and the splitting of skewed windows to adaptive execution.
+Only distinct URLs and distinct grams are scored. Probabilities are worked out order by order over the
+table of grams: a gram meets the counts of its context and the probability of its own end, and of either
+there are at most as many partners as there are characters, so no key of these joins is hot, whatever
+the corpus. Counts are summed before any shuffle. The joins that bring scores of windows back to URLs,
+and of URLs back to rows, have written tables on their small sides, so hot windows and hot URLs can be
+split by adaptive execution.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and no rule; a URL
-without characters scores 0 and is allowed; if either class has no labelled URL, every score is 0;
-equal URLs get equal verdicts; ids may repeat or be null; an empty table gives no rows; further
-columns pass through, a column that bears the name of a result being replaced.
+without characters scores 0 and is allowed; if either class has no labelled URL, every score is 0 and
+every URL without a rule is allowed; equal URLs get equal verdicts; ids may repeat or be null; very long
+URLs are scored whole; an empty table gives no rows; further columns pass through whatever their names,
+a column that bears the name of a result being replaced.
 """
 
 from __future__ import annotations
@@ -75,27 +79,30 @@ def _windows(text: Column) -> Column:
     return F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - ORDER), lambda i: F.array_join(F.slice(c, i, ORDER + 1), "")))[0]
 
 
-def window_scores(windows: DataFrame, labelled: DataFrame) -> DataFrame:
+def window_scores(counts: DataFrame) -> DataFrame:
     """window, ratio: log P(last character | the others) of the accepted minus the rejected model.
-    ``labelled``: window, accepted, rejected (counts)."""
+    ``counts``: window, accepted, rejected (both 0 for windows that are only to be scored)."""
     suffixes = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")
     gram = F.substring(F.col("window"), ORDER + 1 - F.col("k"), F.col("k") + 1)
-    grams = labelled.select("*", suffixes).groupBy(gram.alias("gram")).agg(F.sum("accepted").alias("na"), F.sum("rejected").alias("nr"))
+    grams = counts.select("*", suffixes).groupBy(gram.alias("gram")).agg(F.sum("accepted").alias("na"), F.sum("rejected").alias("nr"))
+    grams = grams.withColumn("length", F.length("gram")).withColumn("context", F.substring(F.col("gram"), F.lit(1), F.col("length") - 1))
     grams = storage.materialize(grams, "url-grams")
-    context = F.substring(F.col("gram"), F.lit(1), F.length("gram") - 1)
-    contexts = grams.groupBy(context.alias("context"), F.length("gram").alias("length")).agg(*[f(c).alias(n) for c, n, f in (("na", "ca", F.sum), ("nr", "cr", F.sum))], F.count_if(F.col("na") > 0).alias("ta"), F.count_if(F.col("nr") > 0).alias("tr"))
-    parts = windows.select("window", suffixes).withColumn("gram", gram).withColumn("context", F.substring(F.col("window"), ORDER + 1 - F.col("k"), F.col("k"))).withColumn("length", F.col("k") + 1)
-    counted = parts.join(grams, "gram", "left").join(contexts, ["context", "length"], "left").fillna(0, ["na", "nr", "ca", "cr", "ta", "tr"])
-    levels = F.sort_array(F.collect_list(F.struct("k", "na", "nr", "ca", "cr", "ta", "tr")))  # ORDER + 1 of them
+    contexts = grams.groupBy("context", "length").agg(F.sum("na").alias("ca"), F.sum("nr").alias("cr"), F.count_if(F.col("na") > 0).alias("ta"), F.count_if(F.col("nr") > 0).alias("tr"))
+    counted = storage.materialize(grams.join(storage.materialize(contexts, "url-contexts"), ["context", "length"]), "url-counted", "length")
 
-    def model(n: str, c: str, t: str) -> Column:
-        def step(p: Column, x: Column) -> Column:
-            return F.when(x[c] > 0, (x[n] + x[t] * p) / (x[c] + x[t])).otherwise(p)
+    def step(n: str, c: str, t: str, p: Column) -> Column:
+        return F.when(F.col(c) > 0, (F.col(n) + F.col(t) * p) / (F.col(c) + F.col(t))).otherwise(p)
 
-        return F.log(F.aggregate("levels", F.lit(1 / _ALPHABET), step))
-
-    scored = counted.groupBy("window").agg(levels.alias("levels"))
-    return scored.select("window", (model("na", "ca", "ta") - model("nr", "cr", "tr")).alias("ratio"))
+    found = None
+    for length in range(1, ORDER + 2):
+        level = counted.filter(F.col("length") == length)
+        if found is None:
+            before = level.withColumn("pa", F.lit(1 / _ALPHABET)).withColumn("pr", F.lit(1 / _ALPHABET))
+        else:
+            before = level.withColumn("end", F.substring(F.col("gram"), 2, length)).join(found, "end")
+        found = before.select(F.col("gram").alias("end"), step("na", "ca", "ta", F.col("pa")).alias("pa"), step("nr", "cr", "tr", F.col("pr")).alias("pr"))
+        found = storage.materialize(found, "url-probabilities")
+    return found.select(F.col("end").alias("window"), (F.log("pa") - F.log("pr")).alias("ratio"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -119,31 +126,39 @@ def calibrate(scored: DataFrame) -> float:
     return where[len(where) // 2] * _STEP
 
 
+RESULTS = ("host", "path", "rule", "verdict", "score")
+
+
 def filter_urls(pages: DataFrame, *, url_col: str = "url", rules=RULES) -> DataFrame:
     """The columns of ``pages``, host, path, rule, verdict and score (null where a rule decides)."""
-    host, path = url_parts(F.col(url_col))
+    rows = storage.numbered(pages)
+    url = F.col(rows.columns[pages.columns.index(url_col)])
+    host, path = url_parts(url)
     rule, by_rule = match_rule(F.col("host"), F.col("path"), rules)
-    parsed = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("_by_rule", by_rule)
-    at = F.locate("://", F.col(url_col))
-    parsed = parsed.withColumn("_text", F.translate(F.coalesce(F.when(at > 0, F.substring(F.col(url_col), at + 3, F.length(url_col))).otherwise(F.col(url_col)), F.lit("")), _UPPER, _LOWER))
-    urls = storage.materialize(parsed.select("_text", "_by_rule").filter("_text != ''").distinct().withColumn("_id", F.xxhash64("_text")), "url-texts")
-    held_out = F.pmod("_id", F.lit(5)) == 0
-    windows = urls.select("_id", F.col("_by_rule").alias("label"), held_out.alias("held_out"), F.explode(_windows(F.col("_text"))).alias("window"))
-    counts = windows.groupBy("window").agg(F.count_if((F.col("label") == "allow") & ~F.col("held_out")).alias("accepted"), F.count_if((F.col("label") == "block") & ~F.col("held_out")).alias("rejected"))
-    counts = storage.materialize(counts, "url-windows")
-    either = counts.agg(F.sum("accepted"), F.sum("rejected")).first()
-    ratios = storage.materialize(window_scores(counts.select("window"), counts.filter("accepted + rejected > 0")), "url-ratios") if all(either) else None
-    if ratios is None:
-        scores, threshold = urls.select("_id", F.lit(0.0).alias("score")).distinct(), float("-inf")
-    else:
-        summed = windows.join(ratios, "window").groupBy("_id", "label", "held_out").agg(F.round(F.avg("ratio"), 9).alias("score"))
-        scored = storage.materialize(summed, "url-scores")
-        threshold = calibrate(scored.filter("held_out AND label IS NOT NULL").select("score", (F.col("label") == "allow").alias("accepted")))
-        scores = scored.groupBy("_id").agg(F.max("score").alias("score"))
-    joined = parsed.withColumn("_id", F.xxhash64("_text")).join(scores, "_id", "left")
-    score = F.when(F.col("rule").isNull(), F.coalesce("score", F.lit(0.0)))
-    judged = F.when((F.col("_text") == "") | (F.coalesce("score", F.lit(0.0)) >= F.lit(threshold)), "allow").otherwise("block")
-    return joined.withColumn("verdict", F.coalesce("_by_rule", judged)).withColumn("score", score).drop("_id", "_text", "_by_rule")
+    at = F.locate("://", url)
+    text = F.translate(F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(url), F.lit("")), _UPPER, _LOWER)
+    parsed = rows.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("by_rule", by_rule).withColumn("text", text)
+    with storage.scratch(pages.sparkSession) as keep:
+        # paths keep their case, so one text may have several labels; numbers are fixed once they are written
+        urls = storage.materialize(parsed.filter("text != ''").select("text", "by_rule").distinct().withColumn("number", F.monotonically_increasing_id()), "url-texts")
+        held_out = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
+        windows = urls.select("number", F.col("by_rule").alias("label"), held_out.alias("held_out"), F.explode(_windows(F.col("text"))).alias("window"))
+        counts = windows.groupBy("window").agg(F.count_if((F.col("label") == "allow") & ~F.col("held_out")).alias("accepted"), F.count_if((F.col("label") == "block") & ~F.col("held_out")).alias("rejected"))
+        counts = storage.materialize(counts, "url-windows")
+        either = counts.agg(F.sum("accepted"), F.sum("rejected")).first()
+        if all(either):
+            ratios = window_scores(counts)
+            summed = windows.select("number", "window").join(ratios, "window").groupBy("number").agg(F.round(F.avg("ratio"), 9).alias("score"))
+            scored = storage.materialize(urls.withColumn("held_out", held_out).join(summed, "number"), "url-scores")
+            threshold = calibrate(scored.filter("held_out AND by_rule IS NOT NULL").select("score", (F.col("by_rule") == "allow").alias("accepted")))
+            scores = keep(scored.groupBy("text").agg(F.max("score").alias("found")), "url-text-scores")
+            judged = parsed.join(scores, "text", "left")
+        else:
+            threshold, judged = float("-inf"), parsed.withColumn("found", F.lit(0.0))
+    found = F.coalesce("found", F.lit(0.0))
+    verdict = F.when((F.col("text") == "") | (found >= F.lit(threshold)), "allow").otherwise("block")
+    passed = [c for name, c in zip(pages.columns, storage.renamed(pages), strict=True) if name not in RESULTS]
+    return judged.select(*passed, "host", "path", "rule", F.coalesce("by_rule", verdict).alias("verdict"), F.when(F.col("rule").isNull(), found).alias("score"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
