@@ -299,10 +299,11 @@ def _between_blocks(large: DataFrame, sizes: DataFrame, texts: DataFrame, settin
 
     def run(table):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         sides = []
         for side in (0, 1):
-            part = table.filter(pa.compute.equal(table["side"], side))
+            part = table.filter(pc.equal(table["side"], side))
             sets = [s for chunk in part["text"].chunks for s in shingle_sets(chunk, k)]
             sides.append((part["id"].to_numpy(), part["component"].to_numpy(), sets))
         out = _joining(sides[0], sides[1] if sides[1][2] else sides[0], percent) if sides[0][2] else []

@@ -318,10 +318,11 @@ def _order_groups(contexts: DataFrame, lengths: list[tuple[int, bool]], id_type)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def flush(table):
             for unit, (length, by_words) in enumerate(lengths):
-                part = table.filter(pa.compute.equal(table["unit"], unit))
+                part = table.filter(pc.equal(table["unit"], unit))
                 if not part.num_rows:
                     continue
                 s, e, t, anchor, n = (part[c].to_numpy().astype(np.int64) for c in ("s", "e", "t", "anchor", "n"))
