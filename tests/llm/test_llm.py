@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import zlib
@@ -483,6 +484,78 @@ def test_license(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def plain_licences(files):
+    """Every segment against every template, without the filter; then the nearest ancestor directory."""
+    word = lambda t: re.findall(licenses._WORD, t.lower())
+    vocabulary = {w for ts in licenses.TEMPLATES.values() for t in ts for w in word(t)}
+    df = collections.Counter(w for _, _, t in files for w in set(word(t or "")) & vocabulary)
+    idf = lambda w: np.log((len(files) + 1) / (df[w] + 1)) + 1 if w in vocabulary else np.log(len(files) + 1) + 1
+
+    def vector(text):
+        v = {w: n * idf(w) for w, n in collections.Counter(word(text)).items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()} if norm else {}
+
+    templates = [(name, vector(t)) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    own, is_file = {}, {}
+    for i, path, text in files:
+        text = text or ""
+        is_file[i] = bool(path and re.match(licenses.LICENSE_FILE, path.split("/")[-1]))
+        paragraphs = re.split(r"\n[^A-Za-z0-9\n]*\n", text)
+        flowing = [re.sub(r"\n[^A-Za-z0-9\n(\"']*", " ", p) for p in paragraphs]
+        parts = [*paragraphs, *text.split("\n"), *(x for p in flowing for x in re.split(r"(?<=[.;!?])\s+", p))] + [text] * is_file[i]
+        scores = [(-round(sum(x * t.get(w, 0) for w, x in v.items()), 6), name) for v in map(vector, set(parts)) for name, t in templates]
+        best = min([x for x in scores if -x[0] >= licenses.THRESHOLD], default=None)
+        own[i] = best and (best[1], -best[0])
+    folder = lambda path: [p for p in path.split("/")[:-1] if p]
+    given = {}
+    for i, path, _ in files:
+        if is_file[i] and own[i]:
+            at = tuple(folder(path))
+            given[at] = min(given.get(at, (0, "")), (-own[i][1], own[i][0]))
+    out = []
+    for i, path, _ in files:
+        up = next((tuple(folder(path)[:n]) for n in range(len(folder(path)), -1, -1) if tuple(folder(path)[:n]) in given), None) if path is not None else None
+        if own[i]:
+            out.append((i, *own[i], "own"))
+        elif up is not None:
+            out.append((i, given[up][1], -given[up][0], "inherited"))
+        else:
+            out.append((i, None, None, None))
+    return out
+
+
+def test_license_texts(spark):
+    """Whole licence files, wrapped comments, sentences within lines, ties, repeated rows, long texts."""
+    t = licenses.TEMPLATES
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2031 Ada Example\n\n" + t["MIT"][-1].replace(". ", ".\n\n")
+    wrapped = "/*\n * " + t["GPL-2.0"][1].replace("redistribute it", "redistribute it\n * ").replace("General", "General\n *  ") + "\n */\nint main() { return 0; }"
+    files = [
+        (1, "a/LICENSE", mit), (2, "a/x.c", "int f();"), (3, "a/b/COPYING.txt", "Copyright 2000 X\n\n" + t["BSD-3-Clause"][-1]), (4, "a/b/c/d/y.c", None), (5, "b/z.c", wrapped),
+        (6, "b/u.py", "# Copyright 2020 The Foo Authors. Licensed under the Apache License, Version 2.0."), (7, "b/v.py", "Copyright (c) 2019 Jane Doe and contributors. Released under the MIT License. See LICENSE."),
+        (8, "c/LICENSE", t["ISC"][-1]), (8, "c/LICENSE", t["ISC"][-1]), (9, "c/LICENSE.md", "Released under the MIT License"), (10, "c/q", "the software of the copyright holder is provided with a notice"),
+        (11, "d/long.txt", " ".join(words(3, 20000)) + "\nLicensed under CC BY-NC 4.0\n" + " ".join(words(4, 20000))), (12, None, t["Unlicense"][0]), (13, "/e//f/x", "x"), (14, "NOTICE", "nothing here"), (15, "a/b/e.c", t["BSD-2-Clause"][-1]),
+    ]
+    frame = spark.createDataFrame([(*f, "x", "y", 1) for f in files], "doc_id long, path string, text string, license string, t string, cosine int")
+    got = sorted(((r.doc_id, r.license, r.cosine, r.origin) for r in licenses.scan(frame).collect()), key=repr)
+    expected = sorted(plain_licences(files), key=repr)
+    assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in expected]
+    assert all(x[2] == y[2] or x[2] == pytest.approx(y[2], abs=2e-6) for x, y in zip(got, expected, strict=True))
+    found = {i: (name, how) for i, name, _, how in got}
+    assert [found[i] for i in (1, 2, 4, 5, 6, 7, 11, 12)] == [("MIT", "own"), ("MIT", "inherited"), ("BSD-3-Clause", "inherited"), ("GPL-2.0", "own"), ("Apache-2.0", "own"), ("MIT", "own"), ("CC-BY-NC-4.0", "own"), ("Unlicense", "own")]
+
+
+def test_license_bodies_of_the_system(spark):
+    """Whole texts of long licences name themselves in the notices that they tell to use."""
+    folder = pathlib.Path("/usr/share/common-licenses")
+    expected = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "GPL-2": "GPL-2.0"}
+    if not all((folder / n).is_file() for n in expected):
+        pytest.skip("no licence texts on this machine")
+    files = [(i, f"{n}/LICENSE", (folder / n).read_text()) for i, n in enumerate(expected)] + [(9, "GPL-3/src/x.c", "int x;")]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == dict(enumerate(expected.values())) | {9: "GPL-3.0"}
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.com/en/7?x", "https://example.net/de/8", "http://x.net/de/1#f", "ftp://q.org/es/", "http://com/en/", "http://xcom/en/", "nothing", None, "://", "http://h?a/b", "http://é.com/en/x y", ""]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
