@@ -4,9 +4,10 @@ dictionary and its parse. Symbols are the bytes of a text, or the hashes of its
 Parsing. A rolling hash over ``k`` symbols is a trigger where it is the smallest (leftmost of equals)
 of ``gap`` successive ones. From a trigger the next one is that of the ``gap`` positions after it, so
 the phrases that follow a place depend on nothing before it. A window of ``length`` symbols has its
-first trigger, and the whole phrase that starts there, inside: the anchor. Equal windows have equal
-anchors at equal places. Successive windows that share their anchor are one row; the text under them,
-the context, is the end of one phrase and the parse from the anchor on, as far as the windows reach.
+first trigger, and the whole phrase that starts there, inside: the anchor, known by all that windows of
+this trigger share, which is that phrase and as much of the parse behind it as fits. Equal windows have
+equal anchors at equal places. Successive windows that share their anchor are one row; the text under
+them, the context, is the end of one phrase and the parse from the anchor on, as far as they reach.
 
 Counting decides most rows, by partial sums: an anchor that occurs once repeats nothing; a context
 that occurs twice or more repeats as a whole.
@@ -90,7 +91,7 @@ def trigger_shape(length: int) -> tuple[int, int]:
 
 def parse(symbols: np.ndarray, offsets: np.ndarray, length: int):
     """The parse of pieces of text that lie one after the other: piece, first and last window and
-    anchor (relative to the piece), hash of the anchor's phrase, hash of the context."""
+    anchor (relative to the piece), hash of what all windows of the anchor share, hash of the context."""
     k, gap = trigger_shape(length)
     n = len(symbols)
     power, inverse = _power_tables(n + 1)
@@ -107,11 +108,11 @@ def parse(symbols: np.ndarray, offsets: np.ndarray, length: int):
     tails = np.append(heads[1:], starts) - 1
     heads, tails = heads[inside[heads]], tails[inside[heads]]
     at = anchor[heads]
-    phrase = run_hashes(symbols, at, trigger[at + 1] + k - at, length)
+    shared = run_hashes(symbols, at, np.full(len(at), length - gap + 1), length)
     covered = tails - heads + length
     context = mix64(run_hashes(symbols, heads, covered, length + 1) ^ mix64((at - heads).astype(np.uint64)))
     owner = piece[heads]
-    return owner, heads - offsets[owner], tails - offsets[owner], at - offsets[owner], phrase, context
+    return owner, heads - offsets[owner], tails - offsets[owner], at - offsets[owner], shared, context
 
 
 def _symbols(column, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -147,12 +148,12 @@ def _parser(lengths: list[tuple[int, bool]]):
 
                     def flush():
                         ends = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
-                        owner, s, e, t, phrase, context = parse(np.concatenate(pieces), ends, length)  # noqa: B023
+                        owner, s, e, t, shared, context = parse(np.concatenate(pieces), ends, length)  # noqa: B023
                         rows, first = (np.array(x, np.int64) for x in zip(*where, strict=True))  # noqa: B023
                         row, first = rows[owner], first[owner]
                         ranges = [pa.array((x + first).astype(np.int32)) for x in (s, e, t)]
                         keys = [batch.column(c).take(pa.array(row)) for c in (0, 1)]  # noqa: B023
-                        return pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(row), unit, np.int8)), *ranges, pa.array(phrase.view(np.int64)), pa.array(context.view(np.int64))], names=["id", "key", "unit", "s", "e", "t", "anchor", "context"])  # noqa: B023
+                        return pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(row), unit, np.int8)), *ranges, pa.array(shared.view(np.int64)), pa.array(context.view(np.int64))], names=["id", "key", "unit", "s", "e", "t", "anchor", "context"])  # noqa: B023
 
                     held = 0
                     for row in np.flatnonzero(np.diff(offsets) >= length).tolist():
@@ -357,28 +358,35 @@ def _strips(contexts: DataFrame, lengths: list[tuple[int, bool]], width: int, id
     """Windows ``s`` to ``e`` of each row of ``contexts``, ``width`` at a time as counted from the
     anchor. A strip's anchor is what all windows of a whole strip share, its context what its own cover."""
 
+    schema = _schema(id_type, "key long, unit byte, c int, s int, e int, t int, anchor long, context long")
+
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            out = []
-            for i, (unit, c, s, e, t, raw) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True)):
-                length, by_words = lengths[unit]
-                symbols = np.frombuffer(raw, np.uint64 if by_words else np.uint8)
-                strip = (t - np.arange(s, e + 1)) // width
-                heads = np.flatnonzero(np.concatenate(([True], strip[1:] != strip[:-1])))
-                first, last, strip = heads + s, np.append(heads[1:], e - s + 1) - 1 + s, strip[heads]
-                shared = run_hashes(symbols, t - strip * width - c, np.full(len(first), length - width + 1), 2 * length + width)
-                covered = run_hashes(symbols, first - c, last + length - first, 2 * length + width + 1)
-                place = mix64((t - first).astype(np.uint64)) ^ (t - last).astype(np.uint64)
-                n = len(first)
-                out.append((np.full(n, i), np.full(n, c), first, last, np.full(n, t), shared ^ mix64(strip.astype(np.uint64)), mix64(covered ^ place)))
-            if out:
-                at, c, s, e, t, anchor, context = map(np.concatenate, zip(*out, strict=True))
-                keys = [batch.column(k).take(pa.array(at)) for k in (0, 1, 2)]
-                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(x.astype(np.int32)) for x in (c, s, e, t)], pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))], names=["id", "key", "unit", "c", "s", "e", "t", "anchor", "context"])
+        for whole in batches:
+            for batch in storage.batch_slices(whole, "symbols", _PIECE):
+                of_unit = batch.column(2).to_numpy()
+                for unit, (length, by_words) in enumerate(lengths):
+                    rows = np.flatnonzero(of_unit == unit)
+                    if not len(rows):
+                        continue
+                    part = batch.take(pa.array(rows))
+                    c, s, e, t = (part.column(k).to_numpy().astype(np.int64) for k in (3, 4, 5, 6))
+                    each = [np.frombuffer(x, np.uint64 if by_words else np.uint8) for x in part.column(7).to_pylist()]
+                    symbols, base = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1] - c
+                    owner = np.repeat(np.arange(len(rows)), e - s + 1)
+                    window = np.arange(len(owner)) - np.repeat(np.cumsum(e - s + 1) - (e - s + 1), e - s + 1) + s[owner]
+                    strip = (t[owner] - window) // width
+                    heads = np.flatnonzero(np.concatenate(([True], (strip[1:] != strip[:-1]) | (owner[1:] != owner[:-1]))))
+                    first, last, strip, owner = window[heads], window[np.append(heads[1:], len(window)) - 1], strip[heads], owner[heads]
+                    shared = run_hashes(symbols, base[owner] + t[owner] - strip * width, np.full(len(owner), length - width + 1), 2 * length + width)
+                    covered = run_hashes(symbols, base[owner] + first, last + length - first, 2 * length + width + 1)
+                    place = mix64((t[owner] - first).astype(np.uint64)) ^ (t[owner] - last).astype(np.uint64)
+                    anchor, context = shared ^ mix64(strip.astype(np.uint64)), mix64(covered ^ place)
+                    keys = [part.column(k).take(pa.array(owner)) for k in (0, 1, 2)]
+                    ints = [pa.array(x.astype(np.int32)) for x in (c[owner], first, last, t[owner])]
+                    yield pa.RecordBatch.from_arrays([*keys, *ints, pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))], names=schema.names)
 
-    schema = _schema(id_type, "key long, unit byte, c int, s int, e int, t int, anchor long, context long")
     return contexts.select("id", "key", "unit", "c", "s", "e", "t", "symbols").mapInArrow(run, schema)
 
 
