@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..catalog import Catalog
 from ..config import LOOKBACK_DAYS, TOP_K
 from ..functions.scalars import dot, ranked
+from ..sources.staging import written
 from .retrieval import age_popularity_table, global_popularity_table, normalize, repurchase
 from .scans import of_population, window_scan
 
@@ -50,7 +52,8 @@ def interactions(cat: Catalog, population: DataFrame | None, as_of: date, lookba
 
     def index(column: str, name: str) -> DataFrame:
         # dense over partitions: position in the partition plus the sizes of the partitions before
-        ordered = counts.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id()).persist()
+        # written, as a lost executor mustn't number rows anew between two reads
+        ordered = written(counts.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id()), f"index-{name}")
         part = F.shiftright("_at", 33)
         sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
         before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -72,9 +75,39 @@ def recommend_als(model: ALSModel, users: DataFrame, items: DataFrame, populatio
     return normalize(rows.withColumn("rank", F.col("i") + 1).withColumn("score", F.lit(n) - F.col("i")), "r4_als")
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """query_id, id, rank, score: exact inner product. Queries must be few: they are broadcast in one
-    row for each, and every vector is scored against each of them."""
-    asked = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q")))
-    scored = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v")).join(asked, F.lit(True)).select("query_id", "id", F.round(dot("_q", "_v"), 6).alias("score"))
-    return scored.withColumn("rank", ranked("query_id", F.desc("score"), F.asc("id")).cast("long")).filter(F.col("rank") <= k)
+#: Query vectors that are broadcast at once.
+BLOCK_QUERIES = 10_000
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str, block: int = BLOCK_QUERIES) -> DataFrame:
+    """query_id, id, rank, score: exact inner product of a stated set of queries against all vectors. At
+    most ``block`` queries are broadcast at once, and each block reads the vectors once; a task keeps the
+    best ``k`` of its part for each query before anything is shuffled."""
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v"))
+
+    def one(b: int) -> DataFrame:
+        mine = F.broadcast(asked.filter(F.pmod(F.hash("query_id"), F.lit(blocks)) == b))
+        return rows.join(mine, F.lit(True)).select("query_id", "id", F.round(dot("_q", "_v"), 6).alias("score"))
+
+    scored = reduce(DataFrame.unionByName, map(one, range(blocks)))
+    return scored.withColumn("rank", ranked("query_id", F.desc("score"), F.asc("id"))).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def save_factors(model: ALSModel, items: DataFrame, root: str) -> None:
+    """The model, and its item factors by article id: what serving needs to score and to search."""
+    model.write().overwrite().save(f"{root}/als")
+    factors = model.itemFactors.withColumnRenamed("id", "item").join(items, "item").select("article_id", F.col("features").alias("factor"))
+    factors.write.option("compression", "zstd").mode("overwrite").parquet(f"{root}/item_factors")
+
+
+def load_factors(spark: SparkSession, root: str) -> tuple[ALSModel, DataFrame]:
+    """The model and article_id, factor."""
+    return ALSModel.load(f"{root}/als"), spark.read.parquet(f"{root}/item_factors")
+
+
+def similar_articles(factors: DataFrame, articles: DataFrame, k: int) -> DataFrame:
+    """query_id, id, rank, score: the articles whose factors have the largest inner product with those of
+    each of ``articles`` (article_id)."""
+    return vector_top_k(factors.join(articles.select("article_id"), "article_id", "left_semi"), factors, k, "article_id", "factor")

@@ -146,3 +146,45 @@ def labelled(name: str, value, frame: DataFrame) -> DataFrame:
 def recall_table(truth: DataFrame, named: list[tuple[str, object, DataFrame]]) -> DataFrame:
     """(label, value, recall@k frames) stacked."""
     return reduce(DataFrame.unionByName, [labelled(name, value, frame) for name, value, frame in named])
+
+
+def mean_ap_by(per_week: DataFrame) -> DataFrame:
+    """One row of ``customers``, ``map_model``, ``map_b2`` and ``lift`` (null if B2 hits nothing) of
+    customer_key, m, b."""
+    maps = per_week.agg(F.count("*").alias("customers"), F.round(F.avg("m"), 9).alias("map_model"), F.round(F.avg("b"), 9).alias("map_b2"))
+    return maps.withColumn("lift", F.round(F.col("map_model") / F.nullif(F.col("map_b2"), F.lit(0.0)) - 1, 3))
+
+
+def evaluate_week(truth: DataFrame, model: DataFrame, b2: DataFrame, k: int = TOP_K) -> DataFrame:
+    """A model's lists against B2's, over the buyers of a week."""
+    ap = lambda preds, name: average_precision(truth, preds, k).withColumnRenamed("ap", name)
+    return mean_ap_by(ap(model, "m").join(ap(b2, "b"), "customer_key"))
+
+
+def sampled(population: DataFrame, n: int | None, seed: int = 0) -> DataFrame:
+    """``n`` customers, the same for one seed on any partitioning; all if None."""
+    return population if n is None else population.orderBy(F.xxhash64(F.lit(seed), "customer_key"), "customer_key").limit(n)
+
+
+def budget_sweep(truth: DataFrame, scored: DataFrame, budgets: list[int], k: int = TOP_K) -> DataFrame:
+    """budget, recall, map: of the first ``budget`` candidates of each customer the share of purchases
+    among them, and the MAP of the ``k`` best by score. ``scored``: customer_key, article_id, cand_rank,
+    score; built once, at the largest budget."""
+
+    def one(budget: int) -> DataFrame:
+        held = scored.filter(F.col("cand_rank") <= budget)
+        best = held.withColumn("pos", ranked("customer_key", F.desc("score"), F.asc("article_id"))).filter(F.col("pos") <= k)
+        found = recall(truth, held.withColumn("pos", F.col("cand_rank")), budget).join(average_precision(truth, best, k), "customer_key")
+        return found.agg(F.round(F.avg("recall"), 9).alias("recall"), F.round(F.avg("ap"), 9).alias("map")).select(F.lit(budget).cast("long").alias("budget"), "recall", "map")
+
+    return reduce(DataFrame.unionByName, map(one, budgets))
+
+
+def source_report(truth: DataFrame, population: DataFrame, long: DataFrame, sources: list[str], k: int = 300) -> DataFrame:
+    """source, recall, coverage of each strategy's own list."""
+
+    def one(source: str) -> DataFrame:
+        mine = long.filter(F.col("source") == source).select("customer_key", "article_id", F.col("rank").alias("pos"))
+        return mean_recall(truth, mine, k).join(F.broadcast(coverage(population, mine)), F.lit(True)).select(F.lit(source).alias("source"), "recall", "coverage")
+
+    return reduce(DataFrame.unionByName, map(one, sources))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..catalog import Catalog
 from ..config import NEGATIVES_PER_POSITIVE, TOP_K
 from ..functions.scalars import ranked
+from ..sources.reports import read_json, write_json
 from . import evaluation, features
 from .retrieval import GENERATORS, retrieve
 from .fusion import build_candidates
@@ -115,8 +116,24 @@ class PointwiseGbt:
 
         return run
 
-    def importance(self) -> list[float]:
-        return self.model.stages[-1].featureImportances.toArray().tolist()
+    def importance(self) -> list[tuple[str, float]]:
+        """(column, gain as a share of all gain), the largest first; the indicator of a missing value bears
+        the name of its column and a mark."""
+        names = self.model.stages[-2].getInputCols()
+        gains = self.model.stages[-1].featureImportances.toArray().tolist()
+        return sorted(((n[1:], g) for n, g in zip(names, gains, strict=True)), key=lambda x: (-x[1], x[0]))
+
+    def save(self, root: str, columns: list[str]) -> None:
+        """The model, and beside it the columns that it wants."""
+        self.model.write().overwrite().save(f"{root}/model")
+        write_json(f"{root}/features.json", {"features": columns, "settings": self.settings})
+
+    @classmethod
+    def load(cls, root: str) -> tuple[PointwiseGbt, list[str]]:
+        facts = read_json(f"{root}/features.json")
+        out = cls()
+        out.settings, out.model = facts["settings"], PipelineModel.load(f"{root}/model")
+        return out, facts["features"]
 
 
 def top_k(scored: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -3,6 +3,7 @@ offline path, console tables and service figures."""
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
@@ -57,8 +58,9 @@ def demo_tables(cat: Catalog, as_of: date) -> dict[str, DataFrame]:
 
 def write_snapshot(cat: Catalog, as_of: date, root: str, with_demo: bool = False, **facts) -> None:
     for name, frame in snapshot_tables(cat, as_of).items():
-        # customers' rows lie together, so a lookup by key skips row groups
-        ordered = frame.sortWithinPartitions("customer_key") if "customer_key" in frame.columns else frame
+        # a range of customers for each file, in order, so a lookup by key opens one and skips row groups
+        keys = [c for c in ("customer_key", "article_id") if c in frame.columns]
+        ordered = frame.repartitionByRange("customer_key").sortWithinPartitions(*keys) if "customer_key" in frame.columns else frame
         ordered.write.option("compression", "zstd").mode("overwrite").parquet(f"{root}/{name}")
     if with_demo:
         for name, frame in demo_tables(cat, as_of).items():
@@ -81,6 +83,10 @@ class Snapshot:
     def lazy(cls, cat: Catalog, as_of: date) -> Snapshot:
         return cls(snapshot_tables(cat, as_of), as_of)
 
+    def lookup(self, name: str, customer_key: int) -> DataFrame:
+        """One customer's rows of a table: the key reaches the reader, which skips all other files."""
+        return self.tables[name].filter(F.col("customer_key") == customer_key)
+
     def sources(self, population: DataFrame | None = None) -> FeatureSources:
         def block(name: str) -> DataFrame:
             frame = self.tables[f"features_{name}"]
@@ -151,6 +157,32 @@ def explain_recommendations(top: DataFrame, candidates: DataFrame, truth: DataFr
     return rows.join(hits, ["customer_key", "article_id"], "left").select("customer_key", "article_id", "pos", "sources", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
+def recent_history(history: DataFrame, n: int = 15) -> DataFrame:
+    """customer_key, article_id, t_dat, price, rn: the last ``n`` purchases of each customer."""
+    order = (F.desc("t_dat"), F.asc("article_id"), F.asc("price"))
+    return history.withColumn("rn", ranked("customer_key", *order).cast("long")).filter(F.col("rn") <= n)
+
+
+def explain_customers(top: DataFrame, truth: DataFrame, history: DataFrame, b2: DataFrame, k: int = TOP_K) -> DataFrame:
+    """One row for each customer of ``top``: ap (over the whole truth), n_truth, hits, and as lists in
+    order: the articles recommended, the last purchases and B2's list."""
+    from .evaluation import average_precision
+
+    def listed(rows: DataFrame, order: str, name: str) -> DataFrame:
+        pairs = F.sort_array(F.collect_list(F.struct(order, "article_id")))
+        return rows.groupBy("customer_key").agg(F.transform(pairs, lambda x: x["article_id"]).alias(name))
+
+    bought = truth.select("customer_key", "article_id").distinct()
+    people = top.select("customer_key").distinct()
+    per = average_precision(bought, top, k, people)
+    hits = top.filter(F.col("pos") <= k).select("customer_key", "article_id").distinct().join(bought, ["customer_key", "article_id"], "left_semi").groupBy("customer_key").agg(F.count("*").alias("hits"))
+    size = bought.groupBy("customer_key").agg(F.count("*").alias("n_truth"))
+    rows = people.join(per, "customer_key", "left").join(size, "customer_key", "left").join(hits, "customer_key", "left").fillna(0, ["ap", "n_truth", "hits"])
+    for more, order, name in ((top, "pos", "recommended"), (recent_history(history), "rn", "recent"), (b2, "pos", "b2")):
+        rows = rows.join(listed(more, order, name), "customer_key", "left").withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
+    return rows
+
+
 def list_parity(a: DataFrame, b: DataFrame, k: int = TOP_K) -> DataFrame:
     """One row: mean overlap of two sets of top-k lists, and the share of customers with equal lists."""
     lists = lambda f, name: f.groupBy("customer_key").agg(F.sort_array(F.collect_list(F.struct("pos", "article_id"))).alias(name))
@@ -159,6 +191,43 @@ def list_parity(a: DataFrame, b: DataFrame, k: int = TOP_K) -> DataFrame:
     return both.agg(F.avg(F.size(F.array_intersect(ids(F.col("a")), ids(F.col("b")))) / F.lit(k)).alias("overlap"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("identical"))
 
 
+def path_parity(offline: DataFrame, online: DataFrame, truth: DataFrame, k: int = TOP_K) -> DataFrame:
+    """One row: customers, map_offline, map_online, overlap, identical, of the lists that the offline path
+    and a reopened snapshot give the same customers."""
+    from .evaluation import mean_average_precision
+
+    maps = [mean_average_precision(truth, lists, k).select(F.col("map").alias(name)) for lists, name in ((offline, "map_offline"), (online, "map_online"))]
+    people = offline.agg(F.countDistinct("customer_key").alias("customers"))
+    one = reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), [people, *maps, list_parity(offline, online, k)])  # one row each
+    return one.select("customers", "map_offline", "map_online", "overlap", "identical")
+
+
+def serving_bench(snap: Snapshot, population: DataFrame, score, budgets: list[int], runs: int = 3, k: int = TOP_K) -> list[dict]:
+    """For each candidate budget the seconds that a batch recommendation takes: n, p50, p95, p99, max."""
+    out = []
+    for budget in budgets:
+        seconds = []
+        for _ in range(runs):
+            began = time.perf_counter()
+            snap.recommend(population, score, k, budget).write.format("noop").mode("overwrite").save()
+            seconds.append((time.perf_counter() - began,))
+        facts = latency_percentiles(population.sparkSession.createDataFrame(seconds, "seconds double"), "seconds").first().asDict()
+        out.append({"budget": budget, **facts})
+    return out
+
+
+def compression_curve(snap: Snapshot, population: DataFrame, truth: DataFrame, ranker, sizes: list[int], runs: int = 1, n: int = 300) -> list[dict]:
+    """For each prefix of the model's trees its MAP and the seconds that it takes."""
+    from .evaluation import mean_average_precision
+
+    out = []
+    for trees in sizes:
+        score = ranker.truncated(trees)
+        quality = mean_average_precision(truth, snap.recommend(population, score, n=n)).first()["map"]
+        out.append({"trees": trees, "map": quality, "p50": serving_bench(snap, population, score, [n], runs)[0]["p50"]})
+    return out
+
+
 def latency_percentiles(samples: DataFrame, column: str, *by: str) -> DataFrame:
     p = linear_percentiles(column, [0.5, 0.95, 0.99])
     return samples.groupBy(*by).agg(F.count(column).alias("n"), *[F.round(p[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], F.max(column).alias("max"))

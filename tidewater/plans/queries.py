@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..catalog import Catalog
-from ..functions.scalars import customer_key
+from ..functions.scalars import customer_key, image_path
 from ..operators import baselines, evaluation as ev, features as ft, fusion, ranking, retrieval as rt, snapshot as sn
 from ..operators.scans import window_scan
 from ..sources.ingest import log_facts
+from ..sources.staging import shared_root, staged, staged_star_schema
 
 AS_OF = date(2001, 7, 1)
 SOURCES = list(rt.GENERATORS)
@@ -24,15 +25,15 @@ class _Context:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.cat = Catalog.from_star_schema(spark, sf_dir)
+        self.cat = staged_star_schema(spark, sf_dir)
 
     @property
     def pop(self) -> DataFrame:
-        return ev.eval_customers(self.cat, AS_OF)
+        return staged(self.spark, self.sf_dir, f"population-{AS_OF}", lambda: ev.eval_customers(self.cat, AS_OF))
 
     @property
     def truth(self) -> DataFrame:
-        return ev.ground_truth(self.cat, AS_OF)
+        return staged(self.spark, self.sf_dir, f"truth-{AS_OF}", lambda: ev.ground_truth(self.cat, AS_OF))
 
     @property
     def long(self) -> DataFrame:
@@ -80,9 +81,17 @@ def _leave_one_out(x: _Context) -> DataFrame:
     return ev.recall_table(x.truth, [("without", s, ev.mean_recall(x.truth, rest(s), 300)) for s in SOURCES])
 
 
+def _by_counts(rows: DataFrame) -> DataFrame:
+    """A model that SQL can state: what a customer bought, then what everybody buys."""
+    return rows.withColumn("score", F.col("score_r2b_global") + 10 * F.col("score_r1_repurchase"))
+
+
 def _budget_sweep(x: _Context) -> DataFrame:
-    cand = _as_pos(x.cand, "cand_rank")
-    return ev.recall_table(x.truth, [("budget", F.lit(k).cast("long"), ev.mean_recall(x.truth, cand, k)) for k in (50, 100, 200, 300)])
+    return ev.budget_sweep(x.truth, _by_counts(x.cand), [50, 100, 200, 300])
+
+
+def _weeks() -> list[date]:
+    return [AS_OF - timedelta(days=7 * i) for i in range(3)]
 
 
 def _rolling(x: _Context) -> DataFrame:
@@ -90,7 +99,16 @@ def _rolling(x: _Context) -> DataFrame:
         pop = ev.eval_customers(x.cat, as_of)
         return ev.mean_average_precision(ev.ground_truth(x.cat, as_of), baselines.b2(x.cat, pop, as_of)).select(F.lit(as_of).alias("as_of"), "map")
 
-    return reduce(DataFrame.unionByName, [week(AS_OF - timedelta(days=7 * i)) for i in range(3)])
+    return reduce(DataFrame.unionByName, map(week, _weeks()))
+
+
+def _rolling_model(x: _Context) -> DataFrame:
+    def week(as_of: date) -> DataFrame:
+        pop = ev.eval_customers(x.cat, as_of)
+        model = ranking.top_k(_by_counts(fusion.build_candidates(rt.retrieve(x.cat, pop, as_of), SOURCES)))
+        return ev.labelled("as_of", as_of, ev.evaluate_week(ev.ground_truth(x.cat, as_of), model, baselines.b2(x.cat, pop, as_of)))
+
+    return reduce(DataFrame.unionByName, map(week, _weeks()))
 
 
 def _segment_table(x: _Context) -> DataFrame:
@@ -109,8 +127,8 @@ def _attribution(x: _Context) -> DataFrame:
 
 
 def _partitioned_scan(x: _Context) -> DataFrame:
-    rows = window_scan(x.cat.tx.withColumn("t_year", F.year("t_dat")).withColumn("t_month", F.month("t_dat")), AS_OF)
-    return rows.groupBy("t_month").agg(F.count("*").alias("n"), F.sum(F.col("price").cast("decimal(18,2)")).cast("double").alias("revenue"))
+    rows = window_scan(x.cat.tx, AS_OF)
+    return rows.groupBy(F.col("t_month").cast("int").alias("t_month")).agg(F.count("*").alias("n"), F.sum(F.col("price").cast("decimal(18,2)")).cast("double").alias("revenue"))
 
 
 def _b2_serve(x: _Context) -> DataFrame:
@@ -121,9 +139,26 @@ def _target_articles(x: _Context) -> DataFrame:
     return sn.target_articles(sn.snapshot_tables(x.cat, AS_OF) | sn.demo_tables(x.cat, AS_OF))
 
 
+def _snapshot(x: _Context) -> sn.Snapshot:
+    """Written, and opened again."""
+    root = f"{shared_root(x.spark)}/snapshot-{uuid.uuid4().hex}"
+    sn.write_snapshot(x.cat, AS_OF, root)
+    return sn.Snapshot.open(x.spark, root)
+
+
 def _parity(x: _Context) -> DataFrame:
-    snap = sn.Snapshot.lazy(x.cat, AS_OF)
-    return sn.list_parity(_as_pos(x.cand, "cand_rank").filter("pos <= 12"), _as_pos(snap.retrieve(x.pop), "cand_rank").filter("pos <= 12"))
+    offline, online = (ranking.top_k(_by_counts(rows)) for rows in (x.cand, _snapshot(x).retrieve(x.pop)))
+    return sn.path_parity(offline, online, x.truth)
+
+
+def _recent(x: _Context) -> DataFrame:
+    return sn.recent_history(sn.demo_tables(x.cat, AS_OF)["demo_history"])
+
+
+def _explain(x: _Context) -> DataFrame:
+    top = _as_pos(x.cand, "cand_rank").filter("pos <= 12")
+    rows = sn.explain_customers(top, x.truth, sn.demo_tables(x.cat, AS_OF)["demo_history"], x.b2)
+    return rows.select("customer_key", "ap", "n_truth", "hits", *[F.array_join(c, ",").alias(c) for c in ("recommended", "recent", "b2")])
 
 
 def _vectors(x: _Context) -> DataFrame:
@@ -190,6 +225,7 @@ _QUERIES: dict[str, Callable[[_Context], DataFrame]] = {
     "diversity": lambda x: ev.diversity(x.cat, x.b2),
     "assemble_features": _assembled,
     "rolling_b2": _rolling,
+    "rolling_model": _rolling_model,
     "budget_sweep": _budget_sweep,
     "demo_truth": lambda x: sn.demo_tables(x.cat, AS_OF)["demo_truth"],
     "demo_history": lambda x: sn.demo_tables(x.cat, AS_OF)["demo_history"],
@@ -198,6 +234,12 @@ _QUERIES: dict[str, Callable[[_Context], DataFrame]] = {
     "target_articles": _target_articles,
     "source_attribution": _attribution,
     "snapshot_parity": _parity,
+    "recent_history": _recent,
+    "explain_customers": _explain,
+    "segment_counts": lambda x: sn.demo_segment_counts(sn.demo_tables(x.cat, AS_OF)["demo_segments"]),
+    "truth_lists": lambda x: ev.truth_lists(x.truth).select("customer_key", F.array_join("articles", ",").alias("articles")),
+    "image_paths": lambda x: x.cat.articles.select("article_id", image_path(F.col("article_id")).alias("path")),
+    "recall_report": lambda x: ev.source_report(x.truth, x.pop, x.long, SOURCES),
     "verify_ingest": lambda x: log_facts(x.cat.tx),
     "customer_key": lambda x: x.cat.customers.select(F.col("customer_key").alias("expected"), customer_key(F.col("customer_id")).alias("customer_key")),
     "partitioned_scan": _partitioned_scan,

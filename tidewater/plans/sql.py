@@ -79,6 +79,10 @@ _PARTS = {
         (SELECT customer_key, pos, row_number() OVER (PARTITION BY customer_key ORDER BY pos) AS hit FROM b2 SEMI JOIN truth USING (customer_key, article_id)) GROUP BY 1) h ON h.customer_key = n.customer_key""",
     "ap_model": """SELECT n.customer_key, round(coalesce(g, 0) / least(n_truth, 12), 12) AS ap FROM nt n LEFT JOIN (SELECT customer_key, sum(CAST(hit AS DOUBLE) / pos) AS g FROM
         (SELECT customer_key, pos, row_number() OVER (PARTITION BY customer_key ORDER BY pos) AS hit FROM model SEMI JOIN truth USING (customer_key, article_id)) GROUP BY 1) h ON h.customer_key = n.customer_key""",
+    "counted": "SELECT *, score_r2b_global + 10 * score_r1_repurchase AS score FROM cand",
+    "by_counts": "SELECT customer_key, article_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY customer_key ORDER BY score DESC, article_id) AS pos FROM counted) WHERE pos <= 12",
+    "ap_counts": """SELECT n.customer_key, round(coalesce(g, 0) / least(n_truth, 12), 12) AS ap FROM nt n LEFT JOIN (SELECT customer_key, sum(CAST(hit AS DOUBLE) / pos) AS g FROM
+        (SELECT customer_key, pos, row_number() OVER (PARTITION BY customer_key ORDER BY pos) AS hit FROM by_counts SEMI JOIN truth USING (customer_key, article_id)) GROUP BY 1) h ON h.customer_key = n.customer_key""",
     "prior": "SELECT customer_key, count(*) AS n_prior, date_diff('day', max(t_dat), @) AS recency FROM tx WHERE t_dat < @ AND customer_key IN (SELECT customer_key FROM pop) GROUP BY 1",
     "seg": """SELECT p.customer_key, coalesce(n_prior, 0) AS n_prior, recency, age,
         CASE WHEN recency IS NULL THEN '0 never purchased' WHEN recency <= 7 THEN '1 active <=7d' WHEN recency <= 30 THEN '2 active 8-30d' WHEN recency <= 90 THEN '3 active 31-90d' ELSE '4 dormant >90d' END AS recency_segment,
@@ -90,21 +94,30 @@ _PARTS = {
 }
 
 
-def complete(body: str) -> str:
+_ONLINE = {
+    "p90": "SELECT * FROM w90",
+    "r1": _PARTS["r1"].replace("FROM p90", "FROM w90") + " AND customer_key IN (SELECT customer_key FROM pop)",
+    "r5g": _PARTS["r5g"].replace("FROM p90", "FROM w90"),
+    "r5": _PARTS["r5"] + " AND customer_key IN (SELECT customer_key FROM pop)",
+    "r6o": _PARTS["r6o"].replace("FROM p90", "FROM w90"),
+    "r6": _PARTS["r6"] + " AND customer_key IN (SELECT customer_key FROM pop)",
+}
+
+
+def complete(body: str, as_of: str = AS_OF, parts: dict[str, str] = _PARTS) -> str:
     """``body`` with the parts that it names, and those that these name, in order."""
     needed: list[str] = []
 
     def visit(text: str) -> None:
-        for name in _PARTS:
+        for name in parts:
             if name not in needed and re.search(rf"\b(FROM|JOIN|UNION ALL SELECT \* FROM)\s+{name}\b", text):
-                visit(_PARTS[name])
+                visit(parts[name])
                 if name not in needed:
                     needed.append(name)
 
     visit(body)
-    parts = ",\n".join(f"{n} AS ({_PARTS[n]})" for n in needed)
-    return (f"WITH {parts}\n{body}" if parts else body).replace("@", AS_OF)
-
+    named = ",\n".join(f"{n} AS ({parts[n]})" for n in needed)
+    return (f"WITH {named}\n{body}" if named else body).replace("@", as_of)
 
 
 _LONG = "customer_key, article_id, source, rank, score"
@@ -129,6 +142,14 @@ _ROLLING = """WITH tx AS ({tx}), weeks AS (SELECT unnest([DATE '2001-06-17', DAT
     h AS (SELECT d, customer_key, pos, row_number() OVER (PARTITION BY d, customer_key ORDER BY pos) AS hit FROM b2 SEMI JOIN truth USING (d, customer_key, article_id) WHERE pos <= 12),
     g AS (SELECT d, customer_key, sum(CAST(hit AS DOUBLE) / pos) AS g FROM h GROUP BY 1, 2), n AS (SELECT d, customer_key, count(*) AS n FROM truth GROUP BY 1, 2)
     SELECT d AS as_of, round(avg(round(coalesce(g, 0) / least(n, 12), 12)), 9) AS map FROM n LEFT JOIN g USING (d, customer_key) GROUP BY 1"""
+_BUDGET = """SELECT CAST({k} AS BIGINT) AS budget, round(avg(coalesce(found, 0) / CAST(n_truth AS DOUBLE)), 9) AS recall, round(avg(round(coalesce(g, 0) / least(n_truth, 12), 12)), 9) AS map FROM nt
+    LEFT JOIN (SELECT customer_key, count(*) AS found FROM counted SEMI JOIN truth USING (customer_key, article_id) WHERE cand_rank <= {k} GROUP BY 1) f USING (customer_key)
+    LEFT JOIN (SELECT customer_key, sum(CAST(hit AS DOUBLE) / pos) AS g FROM (SELECT customer_key, pos, row_number() OVER (PARTITION BY customer_key ORDER BY pos) AS hit FROM
+      (SELECT customer_key, article_id, row_number() OVER (PARTITION BY customer_key ORDER BY score DESC, article_id) AS pos FROM counted WHERE cand_rank <= {k}) SEMI JOIN truth USING (customer_key, article_id) WHERE pos <= 12)
+      GROUP BY 1) h USING (customer_key)"""
+_WEEK = """SELECT *, round(map_model / nullif(map_b2, 0) - 1, 3) AS lift FROM (SELECT @ AS as_of, count(*) AS customers, round(avg(m.ap), 9) AS map_model, round(avg(b.ap), 9) AS map_b2
+    FROM ap_counts m JOIN ap_b2 b USING (customer_key))"""
+_LISTED = "(SELECT customer_key, string_agg(article_id, ',' ORDER BY {order}) AS {name} FROM {rows} GROUP BY 1)"
 _NEG = "(customer_key * 7919 + article_id * CAST(104729 AS BIGINT)) % 1000003"
 
 _BODIES = {
@@ -159,7 +180,7 @@ _BODIES = {
     "b2_pad": "SELECT * FROM b2",
     "b2_serve": """SELECT customer_key, article_id, pos FROM (SELECT customer_key, article_id, row_number() OVER (PARTITION BY customer_key ORDER BY r, article_id) AS pos FROM (SELECT customer_key, article_id, rank AS r FROM r1 WHERE rank <= 12
         UNION ALL SELECT p.customer_key, f.article_id, f.rank + 1000 FROM pop p CROSS JOIN r2bt f WHERE NOT EXISTS (SELECT 1 FROM r1 o WHERE o.rank <= 12 AND o.customer_key = p.customer_key AND o.article_id = f.article_id))) WHERE pos <= 12""",
-    "b2_evaluate": """SELECT (SELECT round(avg(ap), 9) FROM ap_b2) AS map, (SELECT recall FROM (""" + _RECALL.format(label="1", name="x", preds="SELECT * FROM b2", k=12) + """)) AS recall, CAST(1 AS DOUBLE) AS coverage FROM pop LIMIT 1""",
+    "b2_evaluate": """SELECT (SELECT round(avg(ap), 9) FROM ap_b2) AS map, (SELECT recall FROM (""" + _RECALL.format(label="1", name="x", preds="SELECT * FROM b2", k=12) + """)) AS recall, (SELECT count(DISTINCT customer_key) FROM b2) / CAST(count(*) AS DOUBLE) AS coverage FROM pop""",
     "ground_truth": "SELECT * FROM truth",
     "label_candidates": "SELECT customer_key, article_id, label FROM labelled",
     "downsample_negatives": f"""SELECT customer_key, article_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_NEG}, customer_key, article_id) AS r, (SELECT count(*) FROM labelled WHERE label = 1) AS p
@@ -182,7 +203,7 @@ _BODIES = {
     "assemble_features": f"""SELECT {_FEATURES} FROM cand c LEFT JOIN f1 cu ON cu.customer_key = c.customer_key LEFT JOIN cust cm ON cm.customer_key = c.customer_key LEFT JOIN f2 ar ON ar.article_id = c.article_id
         LEFT JOIN f3 af ON af.customer_key = c.customer_key AND af.article_id = c.article_id LEFT JOIN art a ON a.article_id = c.article_id LEFT JOIN f5 cg ON cg.customer_key = c.customer_key AND cg.product_group_name = a.product_group_name
         LEFT JOIN f4 pc ON pc.customer_key = c.customer_key AND pc.product_code = a.product_code""",
-    "budget_sweep": " UNION ALL ".join(_RECALL.format(label=f"CAST({k} AS BIGINT)", name="budget", preds="SELECT customer_key, article_id, cand_rank AS pos FROM cand", k=k) for k in (50, 100, 200, 300)),
+    "budget_sweep": " UNION ALL ".join(_BUDGET.format(k=k) for k in (50, 100, 200, 300)),
     "demo_truth": "SELECT customer_key, article_id, count(*) AS n FROM tx WHERE t_dat >= @ AND t_dat < @ + 7 GROUP BY 1, 2",
     "demo_history": _HISTORY,
     "demo_articles": "SELECT article_id, prod_name, product_type_name, colour_group_name, product_group_name, index_group_name, detail_desc FROM art",
@@ -202,9 +223,32 @@ _BODIES = {
         UNION SELECT article_id FROM (SELECT *, row_number() OVER (PARTITION BY customer_key ORDER BY CAST(n_sold * n_owned AS DOUBLE) / (1 + days) DESC, article_id) AS rank FROM (SELECT customer_key, product_code, count(*) AS n_owned, date_diff('day', max(t_dat), @) AS days FROM w90 JOIN art USING (article_id) GROUP BY 1, 2)
          JOIN r6s USING (product_code)) WHERE rank <= 150
         UNION SELECT article_id FROM (SELECT customer_key, article_id, row_number() OVER (PARTITION BY customer_key ORDER BY max(t_dat) DESC, count(*) DESC, article_id) AS rank FROM w90 GROUP BY 1, 2) WHERE rank <= 50) s LEFT JOIN f2 f USING (article_id)""",
-    "snapshot_parity": "SELECT avg(n / CAST(12 AS DOUBLE)) AS overlap, CAST(1 AS DOUBLE) AS identical FROM (SELECT customer_key, count(*) AS n FROM cand WHERE cand_rank <= 12 GROUP BY 1)",
+    "recent_history": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_key ORDER BY t_dat DESC, article_id, price) AS rn FROM ({_HISTORY})) WHERE rn <= 15",
+    "explain_customers": f"""SELECT p.customer_key, coalesce(ap, 0) AS ap, coalesce(n_truth, 0) AS n_truth, coalesce(hits, 0) AS hits, coalesce(recommended, '') AS recommended, coalesce(recent, '') AS recent, coalesce(b2, '') AS b2
+        FROM (SELECT DISTINCT customer_key FROM model) p LEFT JOIN ap_model USING (customer_key) LEFT JOIN nt USING (customer_key)
+        LEFT JOIN (SELECT customer_key, count(*) AS hits FROM model SEMI JOIN truth USING (customer_key, article_id) GROUP BY 1) USING (customer_key)
+        LEFT JOIN {_LISTED.format(order="pos", name="recommended", rows="model")} USING (customer_key) LEFT JOIN {_LISTED.format(order="pos", name="b2", rows="b2")} USING (customer_key)
+        LEFT JOIN {_LISTED.format(order="rn", name="recent", rows=f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_key ORDER BY t_dat DESC, article_id, price) AS rn FROM ({_HISTORY})) WHERE rn <= 15)")} USING (customer_key)""",
+    "segment_counts": "SELECT recency_segment, count(*) AS customers FROM (SELECT CASE WHEN recency IS NULL THEN 'never purchased' WHEN recency <= 7 THEN 'active <=7d' WHEN recency <= 30 THEN 'active 8-30d' WHEN recency <= 90 THEN 'active 31-90d' ELSE 'dormant >90d' END AS recency_segment FROM pop LEFT JOIN prior USING (customer_key)) GROUP BY 1",
+    "truth_lists": "SELECT customer_key, string_agg(article_id, ',' ORDER BY article_id) AS articles FROM truth GROUP BY 1",
+    "image_paths": "SELECT article_id, 'images/' || left(lpad(CAST(article_id AS VARCHAR), 10, '0'), 3) || '/' || lpad(CAST(article_id AS VARCHAR), 10, '0') || '.jpg' AS path FROM art",
+    "recall_report": " UNION ALL ".join(
+        f"SELECT '{s}' AS source, (SELECT recall FROM ({_RECALL.format(label='1', name='x', preds=f'SELECT customer_key, article_id, rank AS pos FROM {t}', k=300)})) AS recall, count(o.customer_key) / CAST(count(*) AS DOUBLE) AS coverage FROM pop p LEFT JOIN (SELECT DISTINCT customer_key FROM {t}) o ON o.customer_key = p.customer_key"
+        for s, t in zip(_SOURCES, ("r1", "r2", "r2b", "r5", "r6"), strict=True)
+    ),
 }
 
 
+def _parity() -> str:
+    """The offline lists and those of tables over all customers, and how they agree."""
+    lists = "SELECT customer_key, string_agg(article_id, ',' ORDER BY pos) AS list, list(article_id) AS items FROM by_counts GROUP BY 1"
+    offline, online = complete(lists), complete(lists, parts=_PARTS | _ONLINE)
+    maps = [complete("SELECT round(avg(ap), 9) AS m FROM ap_counts", parts=p) for p in (_PARTS, _PARTS | _ONLINE)]
+    return f"""SELECT count(*) AS customers, (SELECT m FROM ({maps[0]})) AS map_offline, (SELECT m FROM ({maps[1]})) AS map_online, avg(len(list_intersect(a.items, b.items)) / CAST(12 AS DOUBLE)) AS overlap,
+        avg(CASE WHEN a.list = b.list THEN CAST(1 AS DOUBLE) ELSE 0 END) AS identical FROM ({offline}) a JOIN ({online}) b USING (customer_key)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: complete(body) for name, body in _BODIES.items()} | {"rolling_b2": _ROLLING.format(tx=_PARTS["tx"])}
+    weeks = [f"DATE '2001-{d}'" for d in ("07-01", "06-24", "06-17")]
+    rolling = " UNION ALL ".join(f"SELECT * FROM ({complete(_WEEK, w)})" for w in weeks)
+    return {name: complete(body) for name, body in _BODIES.items()} | {"rolling_b2": _ROLLING.format(tx=_PARTS["tx"]), "rolling_model": rolling, "snapshot_parity": _parity()}

@@ -10,6 +10,8 @@ from ..functions.scalars import customer_key
 
 TRANSACTIONS = "t_dat date, customer_id string, article_id int, price float, sales_channel_id byte"
 CUSTOMERS = "customer_id string, FN float, Active float, club_member_status string, fashion_news_frequency string, age float, postal_code string"
+#: Columns of the articles file that are numbers; any other is text.
+ARTICLE_NUMBERS = ("article_id", "product_code", "product_type_no", "graphical_appearance_no", "colour_group_code", "perceived_colour_value_id", "perceived_colour_master_id", "department_no", "index_group_no", "section_no", "garment_group_no")
 FILES = {"transactions": "transactions_train.csv", "customers": "customers.csv", "articles": "articles.csv"}
 
 
@@ -22,9 +24,8 @@ def require_files(folder: str) -> None:
         raise SystemExit(f"{folder} lacks {', '.join(absent)}")
 
 
-def _csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
 
 
 def ingest_transactions(spark: SparkSession, path: str, out: str) -> None:
@@ -44,7 +45,9 @@ def ingest_customers(spark: SparkSession, path: str, out: str, map_out: str) ->
 
 
 def ingest_articles(spark: SparkSession, path: str, out: str) -> None:
-    _csv(spark, path).withColumn("article_id", F.col("article_id").cast("int")).write.option("compression", "zstd").mode("overwrite").parquet(out)
+    """Every column of the file; the header names them, and their types don't depend on the data."""
+    names = spark.read.option("header", True).csv(path).columns  # reads the first line
+    _csv(spark, path, ", ".join(f"`{c}` {'int' if c in ARTICLE_NUMBERS else 'string'}" for c in names)).write.option("compression", "zstd").mode("overwrite").parquet(out)
 
 
 def ingest(spark: SparkSession, raw: str, out: str) -> dict:
