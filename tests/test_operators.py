@@ -1,5 +1,6 @@
 """Retrieval, fusion, padding, sampling and parity on small tables, leakage on the driver's."""
 
+import math
 import os
 from datetime import date
 from types import SimpleNamespace
@@ -78,6 +79,45 @@ def test_registered_ranker_has_the_defaults(monkeypatch):
     assert seen == ranking.PointwiseGbt().settings
 
 
+def test_listwise_gradients(spark):
+    """Against pairs written out: three candidates, one bought, and a customer who bought nothing."""
+    rows = [(1, 10, 0, 2.0), (1, 11, 1, 1.0), (1, 12, 0, 0.5), (2, 10, 0, 0.0)]
+    got = {(r.customer_key, r.article_id): (r["lambda"], r.weight) for r in ranking.listwise_gradients(spark.createDataFrame(rows, "customer_key long, article_id int, label int, score double"), 2).collect()}
+    gain = [1.0, 1 / math.log2(3), 0.0]
+    up, low = 1 / (1 + math.exp(1.0 - 2.0)), 1 / (1 + math.exp(1.0 - 0.5))
+    a, b = up * (gain[0] - gain[1]), low * (gain[1] - gain[2])
+    wa, wb = up * (1 - up) * (gain[0] - gain[1]), low * (1 - low) * (gain[1] - gain[2])
+    expected = {(1, 10): (-a, wa), (1, 11): (a + b, wa + wb), (1, 12): (-b, wb), (2, 10): (0.0, 0.0)}
+    assert {k: pytest.approx(v) for k, v in expected.items()} == got
+
+
+def test_listwise_ranker(spark, tmp_path):
+    """Learns an order that holds within lists only, and is the same after a round trip."""
+    rows = [(c, a, int(a == (c * 3) % 7), float(c * 100 + (5 if a == (c * 3) % 7 else a % 5)), None if a % 2 else 1.0, float(a == (c * 3) % 7) + a % 3) for c in range(20) for a in range(7)]
+    frame = spark.createDataFrame(rows, "customer_key long, article_id int, label int, x double, y double, z double")
+    model = ranking.LambdaMart(trees=4, depth=3, step=0.5).fit(frame)
+    truth = frame.filter("label = 1").select("customer_key", "article_id")
+    quality = lambda m, n: ev.mean_average_precision(truth, ranking.top_k(m.truncated(n)(frame))).first()["map"]
+    assert quality(model, 4) > max(quality(model, 0), 0.6) and model.importance()[0][1] > 0
+    model.save(str(tmp_path), ["x", "y", "z"])
+    again, columns = ranking.LambdaMart.load(str(tmp_path))
+    assert columns == ["x", "y", "z"] and sorted(r.score for r in again.score(frame).collect()) == sorted(r.score for r in model.score(frame).collect())
+
+
+def test_serving_bench_and_compression(spark):
+    cat, pop = log(spark, [(d, c, 100 + (c + d) % 5) for c in (1, 2, 3) for d in range(1, 10)])
+    extra = {n: F.lit(1) for n in ("product_type_no", "section_no", "department_no", "perceived_colour_value_id", "graphical_appearance_no")}
+    articles = cat.articles.withColumns(extra | {n: F.lit("x") for n in features.CATEGORICAL[1:3]})
+    customers = cat.customers.withColumns({n: F.lit(1.0) for n in ("fn", "active")} | {n: F.lit("x") for n in features.CATEGORICAL[3:]})
+    snap = snapshot.Snapshot.lazy(Catalog(cat.tx, articles, customers), date(2020, 1, 8))
+    facts = snapshot.serving_bench(snap, pop, lambda rows: rows.withColumn("score", F.col("rrf_score")), [2, 5], 1)
+    assert [f["budget"] for f in facts] == [2, 5] and all(0 < f["p50"] <= f["max"] + 1e-6 for f in facts)
+    truth = spark.createDataFrame([(1, 101), (2, 104)], "customer_key long, article_id int")
+    ranker = SimpleNamespace(truncated=lambda n: lambda rows: rows.withColumn("score", F.col("rrf_score") * n))
+    curve = snapshot.compression_curve(snap, pop, truth, ranker, [1, 0])
+    assert [c["trees"] for c in curve] == [1, 0] and all(0 <= c["map"] <= 1 and c["p50"] > 0 for c in curve)
+
+
 def test_parity_of_lists_and_percentiles(spark):
     a = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "customer_key long, article_id int, pos long")
     b = spark.createDataFrame([(1, 6, 1), (1, 7, 2)], "customer_key long, article_id int, pos long")

@@ -11,12 +11,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..catalog import Catalog
 from ..config import NEGATIVES_PER_POSITIVE, TOP_K
 from ..functions.scalars import ranked
 from ..sources.reports import read_json, write_json
+from ..sources.staging import written
 from . import evaluation, features
 from .retrieval import GENERATORS, retrieve
 from .fusion import build_candidates
@@ -136,6 +138,106 @@ class PointwiseGbt:
         return out, facts["features"]
 
 
+def listwise_gradients(rows: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Adds ``lambda`` and ``weight`` to rows (customer_key, article_id, label, score): the sums, over all
+    pairs of a bought and another candidate of the customer, of the pair's logistic gradient and its
+    derivative, each times the NDCG@k that swapping the two would change. A customer's candidates, at
+    most the candidate budget, are one list; places come from the score, ties from the article."""
+    entry = F.struct((-F.col("score")).alias("minus"), "article_id", F.col("label").cast("double").alias("y"), "score")
+    lists = rows.groupBy("customer_key").agg(F.sort_array(F.collect_list(entry)).alias("all"))
+    placed = F.transform("all", lambda x, i: F.struct(x["article_id"].alias("article_id"), x["y"].alias("y"), x["score"].alias("score"), F.when(i < k, 1.0 / F.log2(i + 2)).otherwise(0.0).alias("d")))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(F.lit(1), F.aggregate("all", F.lit(0.0), lambda s, x: s + x["y"]).cast("int")))), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1))
+    # written between generators, so that no lambda works a list out again for every candidate
+    lists = lists.select("customer_key", F.inline(F.array(F.struct(placed.alias("list"), ideal.alias("ideal")))))
+
+    def per_candidate(x):
+        def add(s, o):
+            pair = x["y"] != o["y"]
+            sign = x["y"] - o["y"]
+            rho = 1.0 / (1.0 + F.exp(sign * (x["score"] - o["score"])))
+            change = F.abs(x["d"] - o["d"]) / F.col("ideal")
+            return F.struct((s["g"] + F.when(pair, sign * rho * change).otherwise(0.0)).alias("g"), (s["h"] + F.when(pair, rho * (1.0 - rho) * change).otherwise(0.0)).alias("h"))
+
+        sums = F.aggregate("list", F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h")), add)
+        return F.struct(x["article_id"].alias("article_id"), sums["g"].alias("lambda"), sums["h"].alias("weight"))
+
+    found = lists.select("customer_key", F.explode(F.transform("list", per_candidate)).alias("c")).select("customer_key", "c.*")
+    return rows.join(found, ["customer_key", "article_id"])
+
+
+class LambdaMart(PointwiseGbt):
+    """Boosted regression trees on the gradients of a listwise objective (NDCG@k), with Newton steps in the
+    leaves. A tree is MLlib's; the gradients are DataFrame functions over each customer's list. Rows need
+    customer_key, article_id (once for each customer) and label."""
+
+    def __init__(self, trees: int = 20, depth: int = 5, step: float = 0.1, k: int = TOP_K, seed: int = 42):
+        self.settings = {"trees": trees, "depth": depth, "step": step, "k": k, "seed": seed}
+        self.before: PipelineModel | None = None
+        self.trees: list[tuple[DecisionTreeRegressionModel, dict[float, float]]] = []
+
+    def fit(self, rows: DataFrame) -> LambdaMart:
+        s = self.settings
+        filled, names = self._numeric(rows)
+        indexed = [c for c in features.CATEGORICAL if c in rows.columns]
+        largest = max([2, *filled.agg(*[F.countDistinct(c) for c in indexed]).first()]) if indexed else 2
+        stages = [StringIndexer(inputCols=indexed, outputCols=[f"_{c}" for c in indexed], handleInvalid="keep")] if indexed else []
+        stages += [VectorAssembler(inputCols=names + [f"_{c}" for c in indexed], outputCol="_features")]
+        self.before = Pipeline(stages=stages).fit(filled)
+        # the rows and each round's scores are written: a round reads them more than once
+        held = written(self.before.transform(filled).select("customer_key", "article_id", "label", "_features"), "lambdamart-rows")
+        scores = written(held.select("customer_key", "article_id", "label", F.lit(0.0).alias("score")), "lambdamart-scores")
+        self.trees = []
+        for n in range(s["trees"]):
+            graded = written(listwise_gradients(scores, s["k"]).drop("label"), "lambdamart-gradients")
+            work = held.join(graded, ["customer_key", "article_id"])
+            tree = DecisionTreeRegressor(featuresCol="_features", labelCol="lambda", maxDepth=s["depth"], maxBins=max(32, largest + 2), minInstancesPerNode=1, seed=s["seed"] + n, leafCol="_leaf").fit(work)
+            leaves = tree.transform(work).groupBy("_leaf").agg(F.sum("lambda").alias("g"), F.sum("weight").alias("h")).collect()  # at most 2 ** depth
+            values = {r["_leaf"]: s["step"] * r.g / (r.h + 1e-9) if r.h else 0.0 for r in leaves}
+            self.trees.append((tree, values))
+            scores = written(self._stepped(work, tree, values).select("customer_key", "article_id", "label", "score"), "lambdamart-scores")
+        return self
+
+    @staticmethod
+    def _stepped(rows: DataFrame, tree: DecisionTreeRegressionModel, values: dict[float, float]) -> DataFrame:
+        table = F.create_map(*[F.lit(x) for leaf, v in sorted(values.items()) for x in (float(leaf), float(v))])
+        out = tree.transform(rows.drop("prediction", "_leaf"))
+        return out.withColumn("score", F.col("score") + F.coalesce(F.try_element_at(table, F.col("_leaf")), F.lit(0.0))).drop("prediction", "_leaf")
+
+    def truncated(self, trees: int) -> Callable[[DataFrame], DataFrame]:
+        def run(rows: DataFrame) -> DataFrame:
+            out = self.before.transform(self._numeric(rows)[0]).withColumn("score", F.lit(0.0))
+            for tree, values in self.trees[:trees]:
+                out = self._stepped(out, tree, values)
+            return out.select(*rows.columns, "score")
+
+        return run
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        return self.truncated(len(self.trees))(rows)
+
+    def importance(self) -> list[tuple[str, float]]:
+        names = self.before.stages[-1].getInputCols()
+        total = [0.0] * len(names)
+        for tree, _ in self.trees:
+            for i, g in enumerate(tree.featureImportances.toArray().tolist()):
+                total[i] += g / max(1, len(self.trees))
+        return sorted(((n[1:], g) for n, g in zip(names, total, strict=True)), key=lambda x: (-x[1], x[0]))
+
+    def save(self, root: str, columns: list[str]) -> None:
+        self.before.write().overwrite().save(f"{root}/before")
+        for n, (tree, _) in enumerate(self.trees):
+            tree.write().overwrite().save(f"{root}/tree-{n}")
+        write_json(f"{root}/features.json", {"features": columns, "settings": self.settings, "leaves": [sorted(v.items()) for _, v in self.trees]})
+
+    @classmethod
+    def load(cls, root: str) -> tuple[LambdaMart, list[str]]:
+        facts = read_json(f"{root}/features.json")
+        out = cls(**facts["settings"])
+        out.before = PipelineModel.load(f"{root}/before")
+        out.trees = [(DecisionTreeRegressionModel.load(f"{root}/tree-{n}"), dict(map(tuple, v))) for n, v in enumerate(facts["leaves"])]
+        return out, facts["features"]
+
+
 def top_k(scored: DataFrame, k: int = TOP_K) -> DataFrame:
     """customer_key, article_id, pos."""
     return scored.withColumn("pos", ranked("customer_key", F.desc("score"), F.asc("article_id")).cast("long")).filter(F.col("pos") <= k).select("customer_key", "article_id", "pos")

@@ -180,6 +180,12 @@ def _ranker(x: _Context) -> DataFrame:
     return ranking.predict_week(x.cat, AS_OF, _trained(x).score)
 
 
+def _listwise(x: _Context) -> DataFrame:
+    """The listwise ranker with its own settings, trained on the week before."""
+    model = ranking.LambdaMart().fit(ranking.build_training_set(x.cat, AS_OF - timedelta(days=7)))
+    return ranking.predict_week(x.cat, AS_OF, model.score)
+
+
 def _tree_sweep(x: _Context) -> DataFrame:
     return ranking.tree_sweep(x.cat, _trained(x, trees=3), AS_OF - timedelta(days=7), AS_OF, [1, 3])
 
@@ -247,6 +253,7 @@ _QUERIES: dict[str, Callable[[_Context], DataFrame]] = {
     "latency_percentiles": lambda x: sn.latency_percentiles(x.spark.read.parquet(f"{x.sf_dir}/events.parquet"), "value", "event_type"),
     "als_topk": _als,
     "ranker_topk": _ranker,
+    "listwise_topk": _listwise,
     "tree_sweep": _tree_sweep,
 }
 
