@@ -7,19 +7,23 @@ from pyspark.sql import DataFrame, functions as F
 from . import storage
 
 
-def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
+#: Edges that a task writes at least, where there are as many.
+_EDGES_PER_TASK = 100_000
+
+
+def _star(edges: DataFrame, large: bool, tasks: int, name: str) -> DataFrame:
     """``edges`` (u, v) with u > v. Large: every node links its larger neighbours to its smallest
     neighbour or itself. Small: every node links itself and its smaller neighbours to the smallest.
 
     The smallest neighbours are written first: the join with them then has nothing but the exchanges of
     its two sides below it, so that a node with very many neighbours can be split over tasks."""
     pairs = edges.select(F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*") if large else edges
-    least = storage.materialize(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
+    least = storage.materialize(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks), f"{name}-least")
     moved = pairs.filter("v > u").join(least, "u") if large else pairs.join(least, "u")
     moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.filter("u > v").distinct()
+    return storage.materialize(moved.filter("u > v").distinct().coalesce(tasks), name)
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -35,6 +39,8 @@ def connected_components(edges: DataFrame, left: str, right: str, name: str = "c
     Rounds grow with the logarithm of the longest path; each one is written to the shared folder."""
     a, b = F.col(left), F.col(right)
     current = storage.materialize(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), name)
+    # a round adds no edges, so few edges stay few, and few tasks do for them
+    tasks = 1 + current.count() // _EDGES_PER_TASK
     while not _are_stars(current):
-        current = storage.materialize(_star(storage.materialize(_star(current, True, name), name), False, name), name)
+        current = _star(_star(current, True, tasks, name), False, tasks, name)
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

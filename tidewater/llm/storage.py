@@ -9,23 +9,12 @@ at most an unlisted file behind.
 from __future__ import annotations
 
 import contextlib
-import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session. One is made only where none is set and all executors are on this
-    machine (tests); on a cluster a local folder would lose files silently, so that is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root if "://" in root or root.startswith("file:") else f"file://{root}"
+from ..sources.staging import shared_root
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
