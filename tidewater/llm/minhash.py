@@ -43,7 +43,7 @@ _MISS = 1e-6
 _ORDERS = 3
 _SMALL = 12
 _ROUNDS = 2
-_BLOCK = 1024
+_BLOCK = 512
 _BLOCK_SHINGLES = 1 << 19
 _COLUMNS = 4096
 _SIGNED = "id long, n_shingles long, set_hash_1 long, set_hash_2 long, keys array<long>"
