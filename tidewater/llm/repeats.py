@@ -55,7 +55,7 @@ _PLACE_BITS = 24
 #: Windows parsed at once, and symbols before anchors that are ordered at once.
 _PIECE = 1 << 20
 #: Contexts of an anchor that are ordered in one task.
-_GROUP = 512
+_GROUP = 256
 _STRIP = 24
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
