@@ -9,11 +9,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..catalog import Catalog
 from ..functions.scalars import customer_key, image_path
 from ..operators import baselines, evaluation as ev, features as ft, fusion, ranking, retrieval as rt, snapshot as sn
 from ..operators.scans import window_scan
 from ..sources.ingest import log_facts
-from ..sources.staging import shared_root, staged, staged_star_schema
+from ..sources.staging import shared_root, staged, staged_star_schema, staged_window
 
 AS_OF = date(2001, 7, 1)
 SOURCES = list(rt.GENERATORS)
@@ -27,6 +28,11 @@ class _Context:
         self.spark, self.sf_dir = spark, sf_dir
         self.cat = staged_star_schema(spark, sf_dir)
 
+    @property
+    def win(self) -> Catalog:
+        """The log of the last 90 days before the cutoff."""
+        return staged_window(self.spark, self.sf_dir, self.cat, AS_OF)
+
     @property
     def pop(self) -> DataFrame:
         return staged(self.spark, self.sf_dir, f"population-{AS_OF}", lambda: ev.eval_customers(self.cat, AS_OF))
@@ -37,7 +43,7 @@ class _Context:
 
     @property
     def long(self) -> DataFrame:
-        return rt.retrieve(self.cat, self.pop, AS_OF)
+        return rt.retrieve(self.win, self.pop, AS_OF)
 
     @property
     def cand(self) -> DataFrame:
@@ -45,10 +51,10 @@ class _Context:
 
     @property
     def b2(self) -> DataFrame:
-        return baselines.b2(self.cat, self.pop, AS_OF)
+        return baselines.b2(self.win, self.pop, AS_OF)
 
     def one(self, source: str) -> DataFrame:
-        return rt.GENERATORS[source](self.cat, self.pop, AS_OF)
+        return rt.GENERATORS[source](self.win, self.pop, AS_OF)
 
     @property
     def labelled(self) -> DataFrame:
@@ -117,7 +123,7 @@ def _segment_table(x: _Context) -> DataFrame:
 
 
 def _assembled(x: _Context) -> DataFrame:
-    return ft.assemble(x.cand.drop("cand_rank"), ft.offline_sources(x.cat, AS_OF, population=x.pop), x.cat)
+    return ft.assemble(x.cand.drop("cand_rank"), ft.offline_sources(x.win, AS_OF, population=x.pop), x.cat)
 
 
 def _attribution(x: _Context) -> DataFrame:
@@ -132,17 +138,17 @@ def _partitioned_scan(x: _Context) -> DataFrame:
 
 
 def _b2_serve(x: _Context) -> DataFrame:
-    return sn.b2_serve(x.one("r1_repurchase"), rt.global_popularity_table(x.cat, AS_OF), x.pop)
+    return sn.b2_serve(x.one("r1_repurchase"), rt.global_popularity_table(x.win, AS_OF), x.pop)
 
 
 def _target_articles(x: _Context) -> DataFrame:
-    return sn.target_articles(sn.snapshot_tables(x.cat, AS_OF) | sn.demo_tables(x.cat, AS_OF))
+    return sn.target_articles(sn.snapshot_tables(x.win, AS_OF) | sn.demo_tables(x.cat, AS_OF))
 
 
 def _snapshot(x: _Context) -> sn.Snapshot:
     """Written, and opened again."""
     root = f"{shared_root(x.spark)}/snapshot-{uuid.uuid4().hex}"
-    sn.write_snapshot(x.cat, AS_OF, root)
+    sn.write_snapshot(x.win, AS_OF, root)
     return sn.Snapshot.open(x.spark, root)
 
 
@@ -191,13 +197,13 @@ def _tree_sweep(x: _Context) -> DataFrame:
 
 
 _QUERIES: dict[str, Callable[[_Context], DataFrame]] = {
-    "customer_recency": lambda x: ft.customer_recency(x.cat, AS_OF, population=x.pop),
-    "article_popularity": lambda x: ft.article_popularity(x.cat, AS_OF),
-    "customer_article_affinity": lambda x: ft.customer_article_affinity(x.cat, AS_OF, population=x.pop),
-    "customer_productcode_affinity": lambda x: ft.customer_productcode_affinity(x.cat, AS_OF, population=x.pop),
-    "customer_group": lambda x: ft.customer_group(x.cat, AS_OF, population=x.pop),
+    "customer_recency": lambda x: ft.customer_recency(x.win, AS_OF, population=x.pop),
+    "article_popularity": lambda x: ft.article_popularity(x.win, AS_OF),
+    "customer_article_affinity": lambda x: ft.customer_article_affinity(x.win, AS_OF, population=x.pop),
+    "customer_productcode_affinity": lambda x: ft.customer_productcode_affinity(x.win, AS_OF, population=x.pop),
+    "customer_group": lambda x: ft.customer_group(x.win, AS_OF, population=x.pop),
     "r1_repurchase": lambda x: x.one("r1_repurchase"),
-    "r2_age_popularity": lambda x: rt.age_popularity_table(x.cat, AS_OF).withColumn("rank", F.col("rank").cast("long")),
+    "r2_age_popularity": lambda x: rt.age_popularity_table(x.win, AS_OF).withColumn("rank", F.col("rank").cast("long")),
     "r2_popularity": lambda x: x.one("r2_popularity"),
     "r2b_global": lambda x: x.one("r2b_global"),
     "r3_item_knn": lambda x: _knn(x, rt.item_knn),
@@ -211,9 +217,9 @@ _QUERIES: dict[str, Callable[[_Context], DataFrame]] = {
     "recall_by_source": _recall_by_source,
     "recall_curve": _recall_curve,
     "recall_leave_one_out": _leave_one_out,
-    "b0_bestsellers": lambda x: baselines.top_articles(x.cat, AS_OF),
-    "b0_age_buckets": lambda x: baselines.top_articles_by_age_bucket(x.cat, AS_OF),
-    "b1_repurchase": lambda x: baselines.repurchase_lists(x.cat, x.pop, AS_OF),
+    "b0_bestsellers": lambda x: baselines.top_articles(x.win, AS_OF),
+    "b0_age_buckets": lambda x: baselines.top_articles_by_age_bucket(x.win, AS_OF),
+    "b1_repurchase": lambda x: baselines.repurchase_lists(x.win, x.pop, AS_OF),
     "b2_pad": lambda x: x.b2,
     "b2_serve": _b2_serve,
     "b2_evaluate": lambda x: ev.evaluate(x.truth, x.b2),
@@ -227,7 +233,7 @@ _QUERIES: dict[str, Callable[[_Context], DataFrame]] = {
     "ndcg_at_12": lambda x: ev.ndcg(x.truth, x.b2),
     "customer_segments": lambda x: ev.customer_segments(x.cat, x.pop, AS_OF),
     "segment_table": _segment_table,
-    "popularity_deciles": lambda x: ev.popularity_deciles(x.cat, AS_OF, x.truth, x.b2),
+    "popularity_deciles": lambda x: ev.popularity_deciles(x.win, AS_OF, x.truth, x.b2),
     "diversity": lambda x: ev.diversity(x.cat, x.b2),
     "assemble_features": _assembled,
     "rolling_b2": _rolling,

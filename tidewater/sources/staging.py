@@ -7,10 +7,14 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import Catalog
+from ..config import LOOKBACK_DAYS
+from ..operators.scans import window_scan
 
 #: Rows of a month that one task writes.
 ROWS_PER_FILE = 4_000_000
@@ -59,6 +63,18 @@ def staged(spark: SparkSession, root: str, name: str, build: Callable[[], DataFr
     return _staged[key]
 
 
+def staged_window(spark: SparkSession, root: str, cat: Catalog, as_of: date, days: int = LOOKBACK_DAYS) -> Catalog:
+    """``cat`` with nothing in its log but the window before ``as_of``, written once by customer: what all
+    features and strategies of a cutoff read, each several times."""
+
+    def build() -> DataFrame:
+        rows = window_scan(cat.tx, as_of, days).drop("t_year", "t_month")
+        parts = max(1, rows.count() // ROWS_PER_FILE)
+        return rows.repartition(parts, "customer_key").sortWithinPartitions("customer_key", "t_dat")
+
+    return replace(cat, tx=staged(spark, root, f"window-{as_of}-{days}", build))
+
+
 def staged_star_schema(spark: SparkSession, root: str) -> Catalog:
     """``Catalog.from_star_schema`` with its three tables written to the shared folder when first asked
     for: the join of orders and lines is done once, and a query reads the months of its window. Tables of
