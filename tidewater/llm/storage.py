@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,19 +24,26 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Folders of this process, by application, and those of the scratches that are open.
+#: Folders of this process, by application.
 _written: dict[str, list[str]] = {}
-_open: list[list[str]] = []
+#: Folders of the scratches that this thread has open, the innermost last.
+_local = threading.local()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def _scratches() -> list[list[str]]:
+    if not hasattr(_local, "open"):
+        _local.open = []
+    return _local.open
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and the planner
     knows the size of what comes back. Shuffle files of the job go when it ends."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    if _open:
-        _open[-1].append(path)
+    if _scratches():
+        _scratches()[-1].append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -57,19 +65,20 @@ def scratch(spark: SparkSession):
     """What is materialized inside goes at the end, but for what the given function has written:
     ``with scratch(spark) as keep: ... result = keep(df, name)``."""
     paths: list[str] = []
-    _open.append(paths)
+    opened = _scratches()
+    opened.append(paths)
 
     def keep(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         out = materialize(df, name, *partition_by)
         kept = paths.pop()
-        if len(_open) > 1:
-            _open[-2].append(kept)
+        if len(opened) > 1:
+            opened[-2].append(kept)
         return out
 
     try:
         yield keep
     finally:
-        _open.remove(paths)
+        opened.pop()
         _delete(spark, paths)
 
 
