@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..catalog import Catalog
 from ..config import LOOKBACK_DAYS
 from ..functions.scalars import count_if, days_before, exact_avg, share_of
-from .scans import of_population, window_scan
+from .scans import merged, of_population, window_scan
 
 CATEGORICAL = ["product_group_name", "index_group_name", "garment_group_name", "club_member_status", "fashion_news_frequency"]
 NON_FEATURES = ["customer_key", "article_id", "label", "week"]
@@ -55,7 +55,7 @@ def customer_article_affinity(cat: Catalog, as_of: date, lookback: int = LOOKBAC
 
 def _with_article(cat: Catalog, as_of: date, lookback: int, population: DataFrame | None, column: str) -> DataFrame:
     rows = of_population(window_scan(cat.tx, as_of, lookback), population)
-    return rows.join(cat.articles.select("article_id", column), "article_id")
+    return merged(rows, cat.articles.select("article_id", column), "article_id")
 
 
 def customer_productcode_affinity(cat: Catalog, as_of: date, lookback: int = LOOKBACK_DAYS, population: DataFrame | None = None) -> DataFrame:
@@ -89,7 +89,7 @@ def offline_sources(cat: Catalog, as_of: date, lookback: int = LOOKBACK_DAYS, po
 
 def assemble(candidates: DataFrame, sources: FeatureSources, cat: Catalog) -> DataFrame:
     """Candidates and all their features; unmatched counts and shares are 0, anything else unmatched
-    stays null. Rows come in no order; sinks sort."""
+    stays null. Rows come in no order; sinks sort. No block is broadcast."""
     customer = sources.customer.select(
         "customer_key", "n_purchases", "n_unique_items", "n_active_days", F.col("avg_price").alias("cust_avg_price"), F.col("max_price").alias("cust_max_price"),
         F.col("std_price").alias("cust_std_price"), "days_since_last", "days_since_first", "n_purchases_7d", "n_purchases_30d", "online_ratio",
@@ -100,15 +100,14 @@ def assemble(candidates: DataFrame, sources: FeatureSources, cat: Catalog) -> Da
         "days_since_first_sale", "days_since_last_sale", "trend_ratio", "price_pctile",
     )
     attributes = cat.articles.select("article_id", "product_code", "product_group_name", "index_group_name", "garment_group_name", "product_type_no", "section_no", "department_no", "perceived_colour_value_id", "graphical_appearance_no")
-    joined = (
-        candidates.join(attributes, "article_id", "left")
-        .join(article, "article_id", "left")
-        .join(customer, "customer_key", "left")
-        .join(person, "customer_key", "left")
-        .join(sources.affinity.drop("ca_min_price_paid"), ["customer_key", "article_id"], "left")
-        .join(sources.category, ["customer_key", "product_group_name"], "left")
-        .join(sources.product_code, ["customer_key", "product_code"], "left")
-    )
+    blocks = [
+        (attributes, ["article_id"]), (article, ["article_id"]), (customer, ["customer_key"]), (person, ["customer_key"]),
+        (sources.affinity.drop("ca_min_price_paid"), ["customer_key", "article_id"]),
+        (sources.category, ["customer_key", "product_group_name"]), (sources.product_code, ["customer_key", "product_code"]),
+    ]
+    joined = candidates
+    for block, keys in blocks:
+        joined = merged(joined, block, keys, "left")
     spread = F.nullif(F.col("cust_std_price"), F.lit(0.0))
     derived = joined.withColumn("price_ratio", F.col("art_avg_price") / F.nullif(F.col("cust_avg_price"), F.lit(0.0))).withColumn("price_z", (F.col("art_avg_price") - F.col("cust_avg_price")) / spread)
     return derived.fillna(0, ZERO_FILLED).drop("product_code")

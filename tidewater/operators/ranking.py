@@ -22,6 +22,7 @@ from ..sources.staging import written
 from . import evaluation, features
 from .retrieval import GENERATORS, retrieve
 from .fusion import build_candidates
+from .scans import merged
 
 _HASH_RANGE = 1_000_003  # a prime
 
@@ -162,7 +163,7 @@ def listwise_gradients(rows: DataFrame, k: int = TOP_K) -> DataFrame:
         return F.struct(x["article_id"].alias("article_id"), sums["g"].alias("lambda"), sums["h"].alias("weight"))
 
     found = lists.select("customer_key", F.explode(F.transform("list", per_candidate)).alias("c")).select("customer_key", "c.*")
-    return rows.join(found, ["customer_key", "article_id"])
+    return merged(rows, found, ["customer_key", "article_id"])
 
 
 class LambdaMart(PointwiseGbt):
@@ -189,7 +190,7 @@ class LambdaMart(PointwiseGbt):
         self.trees = []
         for n in range(s["trees"]):
             graded = written(listwise_gradients(scores, s["k"]).drop("label"), "lambdamart-gradients")
-            work = held.join(graded, ["customer_key", "article_id"])
+            work = merged(held, graded, ["customer_key", "article_id"])
             tree = DecisionTreeRegressor(featuresCol="_features", labelCol="lambda", maxDepth=s["depth"], maxBins=max(32, largest + 2), minInstancesPerNode=1, seed=s["seed"] + n, leafCol="_leaf").fit(work)
             leaves = tree.transform(work).groupBy("_leaf").agg(F.sum("lambda").alias("g"), F.sum("weight").alias("h")).collect()  # at most 2 ** depth
             values = {r["_leaf"]: s["step"] * r.g / (r.h + 1e-9) if r.h else 0.0 for r in leaves}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..catalog import Catalog
 from ..config import LOOKBACK_DAYS
 from ..functions.scalars import age_bucket, days_before, ranked
-from .scans import of_population, window_scan
+from .scans import merged, of_population, window_scan
 
 LONG = "customer_key long, article_id int, source string, rank long, score double"
 
@@ -38,7 +38,7 @@ def repurchase(cat: Catalog, population: DataFrame | None, as_of: date, n: int =
 def age_popularity_table(cat: Catalog, as_of: date, n: int = 200, days: int = 7) -> DataFrame:
     """age_bucket, article_id, score, rank."""
     buckets = cat.customers.select("customer_key", age_bucket(F.col("age")).alias("age_bucket"))
-    sold = window_scan(cat.tx, as_of, days).join(buckets, "customer_key").groupBy("age_bucket", "article_id").agg(F.count("*").alias("score"))
+    sold = merged(window_scan(cat.tx, as_of, days), buckets, "customer_key").groupBy("age_bucket", "article_id").agg(F.count("*").alias("score"))
     return sold.withColumn("rank", ranked("age_bucket", F.desc("score"), F.asc("article_id"))).filter(F.col("rank") <= n)
 
 
@@ -89,9 +89,9 @@ def last_item_knn(cat: Catalog, population: DataFrame, as_of: date, n: int = 100
 
 def category(cat: Catalog, population: DataFrame | None, as_of: date, n: int = 30, lookback: int = LOOKBACK_DAYS, days: int = 7, n_groups: int = 3, n_per_group: int = 20) -> DataFrame:
     groups = cat.articles.select("article_id", "product_group_name")
-    liked = of_population(window_scan(cat.tx, as_of, lookback), population).join(groups, "article_id").groupBy("customer_key", "product_group_name").agg(F.count("*").alias("g"))
+    liked = merged(of_population(window_scan(cat.tx, as_of, lookback), population), groups, "article_id").groupBy("customer_key", "product_group_name").agg(F.count("*").alias("g"))
     liked = liked.withColumn("r", ranked("customer_key", F.desc("g"), F.asc("product_group_name"))).filter(F.col("r") <= n_groups)
-    sold = window_scan(cat.tx, as_of, days).join(groups, "article_id").groupBy("product_group_name", "article_id").agg(F.count("*").alias("p"))
+    sold = merged(window_scan(cat.tx, as_of, days), groups, "article_id").groupBy("product_group_name", "article_id").agg(F.count("*").alias("p"))
     sold = sold.withColumn("r", ranked("product_group_name", F.desc("p"), F.asc("article_id"))).filter(F.col("r") <= n_per_group)
     scored = liked.drop("r").join(sold.drop("r"), "product_group_name").withColumn("score", F.col("g") * F.col("p"))
     return _top(scored, n, "r5_category", F.desc("score"), F.asc("article_id"))
@@ -99,9 +99,9 @@ def category(cat: Catalog, population: DataFrame | None, as_of: date, n: int = 3
 
 def product_variant(cat: Catalog, population: DataFrame | None, as_of: date, n: int = 50, lookback: int = LOOKBACK_DAYS, days: int = 14) -> DataFrame:
     codes = cat.articles.select("article_id", "product_code")
-    owned = of_population(window_scan(cat.tx, as_of, lookback), population).join(codes, "article_id").groupBy("customer_key", "product_code").agg(F.count("*").alias("n_owned"), days_before(as_of, F.max("t_dat")).alias("days"))
-    sold = window_scan(cat.tx, as_of, days).join(codes, "article_id").groupBy("product_code", "article_id").agg(F.count("*").alias("n_sold"))
-    scored = owned.join(sold, "product_code").withColumn("score", (F.col("n_sold") * F.col("n_owned")).cast("double") / (1 + F.col("days")))
+    owned = merged(of_population(window_scan(cat.tx, as_of, lookback), population), codes, "article_id").groupBy("customer_key", "product_code").agg(F.count("*").alias("n_owned"), days_before(as_of, F.max("t_dat")).alias("days"))
+    sold = merged(window_scan(cat.tx, as_of, days), codes, "article_id").groupBy("product_code", "article_id").agg(F.count("*").alias("n_sold"))
+    scored = merged(owned, sold, "product_code").withColumn("score", (F.col("n_sold") * F.col("n_owned")).cast("double") / (1 + F.col("days")))
     return _top(scored, n, "r6_product_variant", F.desc("score"), F.asc("article_id"))
 
 

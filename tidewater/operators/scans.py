@@ -35,6 +35,12 @@ def history_scan(tx: DataFrame, as_of: date) -> DataFrame:
     return between(tx, None, as_of)
 
 
+def merged(rows: DataFrame, table: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """A join with a table that grows with the data, sorted and merged. The planner judges a table by the
+    size of its compressed columns and would broadcast millions of rows, all of which the driver holds."""
+    return rows.join(table.hint("merge"), keys, how)
+
+
 def of_population(rows: DataFrame, population: DataFrame | None) -> DataFrame:
     """Semi-join before anything is aggregated; None means every customer."""
     return rows if population is None else rows.join(population.select("customer_key"), "customer_key", "left_semi")
