@@ -56,3 +56,10 @@ def test_listwise_gradients_are_not_broadcast(spark):
     made = ranking.listwise_gradients(rows)
     assert broadcasts(made) == 0
     assert {(r.article_id, r["lambda"] > 0) for r in made.collect()} == {(7, True), (8, False)}
+
+
+def test_training_rows_are_read_not_made_anew(spark, cat):
+    """A ranker passes over its rows many times; none of the steps that made them is in its plans."""
+    rows = ranking.build_training_set(cat, date(2020, 1, 8))
+    assert not re.search("Join|Window|Aggregate|Exchange", plan(rows))
+    assert {(r.customer_key, r.article_id, r.label) for r in rows.filter("label = 1").collect()} == {(3, 101, 1)}

@@ -53,10 +53,13 @@ def downsample_negatives(labelled: DataFrame, ratio: int = NEGATIVES_PER_POSITIV
 
 
 def build_training_set(cat: Catalog, as_of: date, ratio: int = NEGATIVES_PER_POSITIVE, n_candidates: int = 300) -> DataFrame:
-    population = evaluation.eval_customers(cat, as_of)
+    """Each step is written: sampling reads the candidates three times and a ranker reads the rows once for
+    every pass, and a plan that holds all steps, each time anew, is more than the driver has memory for."""
+    population = written(evaluation.eval_customers(cat, as_of), "training-population")
     wide = build_candidates(retrieve(cat, population, as_of), list(GENERATORS), n_candidates)
-    rows = downsample_negatives(label_candidates(wide, evaluation.ground_truth(cat, as_of)), ratio)
-    return features.downcast(features.assemble(rows.drop("cand_rank"), features.offline_sources(cat, as_of, population=population), cat))
+    labelled = written(label_candidates(wide, evaluation.ground_truth(cat, as_of)), "training-candidates")
+    rows = written(downsample_negatives(labelled, ratio), "training-sample")
+    return written(features.downcast(features.assemble(rows.drop("cand_rank"), features.offline_sources(cat, as_of, population=population), cat)), "training-rows")
 
 
 def build_multiweek_training_set(cat: Catalog, weeks: list[date], **settings) -> DataFrame:
@@ -245,18 +248,27 @@ def top_k(scored: DataFrame, k: int = TOP_K) -> DataFrame:
 
 
 def predict_week(cat: Catalog, as_of: date, score: Callable[[DataFrame], DataFrame], k: int = TOP_K, n_candidates: int = 300, population: DataFrame | None = None) -> DataFrame:
-    population = evaluation.eval_customers(cat, as_of) if population is None else population
-    wide = build_candidates(retrieve(cat, population, as_of), list(GENERATORS), n_candidates).drop("cand_rank")
-    rows = features.downcast(features.assemble(wide, features.offline_sources(cat, as_of, population=population), cat))
-    return top_k(score(rows), k)
+    return top_k(score(_feature_rows(cat, as_of, n_candidates, population)), k)
+
+
+def _feature_rows(cat: Catalog, as_of: date, n_candidates: int = 300, population: DataFrame | None = None) -> DataFrame:
+    """All candidates of ``population``, by default of the buyers of the target week, with their features."""
+    population = written(evaluation.eval_customers(cat, as_of), "predicted-population") if population is None else population
+    wide = written(build_candidates(retrieve(cat, population, as_of), list(GENERATORS), n_candidates).drop("cand_rank"), "predicted-candidates")
+    return features.downcast(features.assemble(wide, features.offline_sources(cat, as_of, population=population), cat))
 
 
 def tree_sweep(cat: Catalog, ranker: PointwiseGbt, trained_on: date, select_on: date, sizes: list[int]) -> DataFrame:
     """trees, map, relative: model prefixes judged on a later week than any they learnt from."""
     if select_on <= trained_on:
         raise ValueError("trees have to be selected on a week after the training week")
-    truth = evaluation.ground_truth(cat, select_on)
-    rows = [evaluation.mean_average_precision(truth, predict_week(cat, select_on, ranker.truncated(n))).select(F.lit(n).cast("long").alias("trees"), "map") for n in sizes]
-    table = reduce(DataFrame.unionByName, rows)
+    truth = written(evaluation.ground_truth(cat, select_on), "sweep-truth")
+    # the candidates are scored by all prefixes in one pass
+    scored = _feature_rows(cat, select_on)
+    for n in sizes:
+        scored = ranker.truncated(n)(scored).withColumnRenamed("score", f"_score_{n}")
+    scored = written(scored.select("customer_key", "article_id", *[f"_score_{n}" for n in sizes]), "sweep-scores")
+    rows = [evaluation.mean_average_precision(truth, top_k(scored.withColumnRenamed(f"_score_{n}", "score"))).select(F.lit(n).cast("long").alias("trees"), "map") for n in sizes]
+    table = written(reduce(DataFrame.unionByName, rows), "sweep")
     best = table.agg(F.max("map").alias("best"))
     return table.join(F.broadcast(best), F.lit(True)).select("trees", "map", (F.col("map") / F.nullif(F.col("best"), F.lit(0.0))).alias("relative"))
