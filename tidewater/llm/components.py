@@ -15,14 +15,16 @@ def _star(edges: DataFrame, large: bool, tasks: int, name: str) -> DataFrame:
     """``edges`` (u, v) with u > v. Large: every node links its larger neighbours to its smallest
     neighbour or itself. Small: every node links itself and its smaller neighbours to the smallest.
 
-    The smallest neighbours are written first: the join with them then has nothing but the exchanges of
-    its two sides below it, so that a node with very many neighbours can be split over tasks."""
-    pairs = edges.select(F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*") if large else edges
-    least = storage.materialize(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks), f"{name}-least")
-    moved = pairs.filter("v > u").join(least, "u") if large else pairs.join(least, "u")
-    moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if not large:
-        moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
+    No edge is turned round: larger neighbours never lower a node's smallest, so the smallest of those that
+    it is u to do, and a node that is u to none is its own. The smallest neighbours are written first: the
+    join with them then has nothing but the exchanges of its two sides below it, so that a node with very
+    many neighbours can be split over tasks."""
+    least = storage.materialize(edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), f"{name}-least")
+    if large:
+        of = least.withColumnRenamed("u", "node")
+        moved = edges.join(of, edges.v == of.node, "left").select("u", F.coalesce("m", "v").alias("v"))
+    else:
+        moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return storage.materialize(moved.filter("u > v").distinct().coalesce(tasks), name)
 
 

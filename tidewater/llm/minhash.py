@@ -171,15 +171,13 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
         found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
         crowded = shared.filter("n > 2").select("id").distinct()
         crowd = storage.materialize(reps.join(crowded, "id", "left_semi"), "minhash-crowd")
-        found, tested, large = _between_components(crowd, sizes, found, tested, texts, settings)
+        found, large = _between_components(crowd, sizes, found, tested, texts, settings)
         if large.limit(1).count():
-            more = storage.materialize(_between_blocks(large, sizes, texts, settings), "minhash-confirmed")
-            tested = tested.unionByName(more)
-            found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
+            found = _joined(found, storage.materialize(_between_blocks(large, sizes, texts, settings), "minhash-confirmed"))
         if real.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
             # rows that share an id hold their classes together
             inner = members.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-            found = connected_components(tested.filter("linked").select("a", "b").unionByName(inner), "a", "b", "minhash-components")
+            found = _joined(found, inner)
         labels = classes.join(found, classes.rep == found.node, "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
         out = signed.drop("keys").join(labels, same, "left")
         out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
@@ -194,8 +192,15 @@ def _possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _between_components(crowd: DataFrame, sizes: DataFrame, found: DataFrame, tested: DataFrame, texts: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Step 5 of the module's description: components and tested pairs after it, and the members
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components ``found`` (node, component), joined by further ``links`` (a, b). A component stands for all
+    links that made it, so each of its nodes brings one edge."""
+    held = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return connected_components(links.select("a", "b").unionByName(held), "a", "b", "minhash-components")
+
+
+def _between_components(crowd: DataFrame, sizes: DataFrame, found: DataFrame, tested: DataFrame, texts: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame]:
+    """Step 5 of the module's description: components after it, and the members
     (id, component, key) of large buckets that are still mixed. ``crowd``: id, n_shingles, keys of
     the texts in buckets of more than two."""
     def mixed() -> DataFrame:
@@ -221,9 +226,9 @@ def _between_components(crowd: DataFrame, sizes: DataFrame, found: DataFrame, te
         tested = tested.unionByName(more)
         if not more.filter("linked").limit(1).count():
             break
-        found = connected_components(tested.filter("linked"), "a", "b", "minhash-components")
+        found = _joined(found, more.filter("linked"))
         buckets = mixed()
-    return found, tested, buckets.filter(F.col("n") > _SMALL).select("id", "component", "key")
+    return found, buckets.filter(F.col("n") > _SMALL).select("id", "component", "key")
 
 
 def _shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
