@@ -79,6 +79,33 @@ def test_registered_ranker_has_the_defaults(monkeypatch):
     assert seen == ranking.PointwiseGbt().settings
 
 
+def test_registered_sweep_has_every_prefix_of_the_defaults(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(ranking, "build_training_set", lambda cat, as_of, **settings: None)
+    monkeypatch.setattr(ranking.PointwiseGbt, "fit", lambda self, rows: self)
+    monkeypatch.setattr(ranking, "tree_sweep", lambda cat, ranker, trained_on, select_on, sizes: seen.update(settings=ranker.settings, sizes=list(sizes)))
+    queries._tree_sweep(SimpleNamespace(cat=None))
+    own = ranking.PointwiseGbt().settings
+    assert seen == {"settings": own, "sizes": list(range(1, own["maxIter"] + 1))}
+
+
+@pytest.mark.parametrize("kind", [ranking.PointwiseGbt, ranking.LambdaMart])
+def test_sweep_equals_each_prefix_alone(spark, monkeypatch, kind):
+    """With ties, a buyer without candidates, a purchase that is no candidate, and more trees than there are."""
+    rows = [(c, a, int((a * c) % 5 == 0), float((a * 7 + c * 3) % 4), None if a % 3 else float(a * c % 5 == 0)) for c in range(1, 5) for a in range(1, 20)]
+    frame = spark.createDataFrame(rows, "customer_key long, article_id int, label int, x double, y double")
+    model = kind(trees=4, depth=2, step=0.3).fit(frame)
+    cat, _ = log(spark, [(8, 1, 5), (8, 1, 10), (9, 2, 18), (9, 2, 3), (8, 3, 2), (8, 3, 99), (9, 8, 1)])
+    monkeypatch.setattr(ranking, "_feature_rows", lambda cat, as_of: frame.drop("label"))
+    truth, sizes = ev.ground_truth(cat, date(2020, 1, 8)), [1, 2, 3, 4, 6]
+    alone = {n: ev.mean_average_precision(truth, ranking.top_k(model.truncated(n)(frame.drop("label")))).first()["map"] for n in sizes}
+    swept = ranking.tree_sweep(cat, model, date(2020, 1, 1), date(2020, 1, 8), sizes)
+    assert {r.trees: r.map for r in swept.collect()} == alone and max(alone.values()) > 0
+    assert max(r.relative for r in swept.collect()) == 1.0
+    nothing = ranking.tree_sweep(cat, model, date(2020, 1, 1), date(2020, 2, 8), [1, 2]).collect()
+    assert sorted((r.trees, r.map, r.relative) for r in nothing) == [(1, 0.0, None), (2, 0.0, None)]
+
+
 def test_listwise_gradients(spark):
     """Against pairs written out: three candidates, one bought, and a customer who bought nothing."""
     rows = [(1, 10, 0, 2.0), (1, 11, 1, 1.0), (1, 12, 0, 0.5), (2, 10, 0, 0.0)]

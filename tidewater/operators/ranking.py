@@ -108,19 +108,22 @@ class PointwiseGbt:
         out = self.model.transform(self._numeric(rows)[0]).withColumn("score", vector_to_array("probability")[1])
         return out.select(*rows.columns, "score")
 
-    def truncated(self, trees: int) -> Callable[[DataFrame], DataFrame]:
-        """The model's first trees only, as a scoring function."""
+    def prefixes(self, rows: DataFrame, sizes: list[int]) -> DataFrame:
+        """Adds, for each n of ``sizes``, the score by the model's first n trees as ``_score_n``; the rows pass
+        each tree once."""
         *before, boosted = self.model.stages
-        weights = list(boosted.treeWeights)[:trees]
-
-        def run(rows: DataFrame) -> DataFrame:
-            out = PipelineModel(before).transform(self._numeric(rows)[0])
-            for k, (tree, w) in enumerate(zip(boosted.trees, weights, strict=False)):
-                tree.setPredictionCol(f"_t{k}")
-                out = tree.transform(out).withColumn(f"_t{k}", F.col(f"_t{k}") * w)
-            return out.withColumn("score", sum((F.col(f"_t{k}") for k in range(len(weights))), F.lit(0.0))).select(*rows.columns, "score")
+        out = PipelineModel(before).transform(self._numeric(rows)[0])
+        weights = list(boosted.treeWeights)[: max(sizes)]
+        for k, tree in enumerate(boosted.trees[: len(weights)]):
+            tree.setPredictionCol(f"_t{k}")
+            out = tree.transform(out)
+        out = out.withColumn("_votes", F.array(*[F.col(f"_t{k}") * w for k, w in enumerate(weights)]))
+        total = lambda n: sum((F.get("_votes", F.lit(k)) for k in range(min(n, len(weights)))), F.lit(0.0))
+        return out.select(*rows.columns, *[total(n).alias(f"_score_{n}") for n in sizes])
 
-        return run
+    def truncated(self, trees: int) -> Callable[[DataFrame], DataFrame]:
+        """The model's first trees only, as a scoring function."""
+        return lambda rows: self.prefixes(rows, [trees]).withColumnRenamed(f"_score_{trees}", "score")
 
     def importance(self) -> list[tuple[str, float]]:
         """(column, gain as a share of all gain), the largest first; the indicator of a missing value bears
@@ -207,14 +210,14 @@ class LambdaMart(PointwiseGbt):
         out = tree.transform(rows.drop("prediction", "_leaf"))
         return out.withColumn("score", F.col("score") + F.coalesce(F.try_element_at(table, F.col("_leaf")), F.lit(0.0))).drop("prediction", "_leaf")
 
-    def truncated(self, trees: int) -> Callable[[DataFrame], DataFrame]:
-        def run(rows: DataFrame) -> DataFrame:
-            out = self.before.transform(self._numeric(rows)[0]).withColumn("score", F.lit(0.0))
-            for tree, values in self.trees[:trees]:
-                out = self._stepped(out, tree, values)
-            return out.select(*rows.columns, "score")
-
-        return run
+    def prefixes(self, rows: DataFrame, sizes: list[int]) -> DataFrame:
+        out = self.before.transform(self._numeric(rows)[0]).withColumn("score", F.lit(0.0))
+        for n in range(max(sizes) + 1):
+            if 0 < n <= len(self.trees):
+                out = self._stepped(out, *self.trees[n - 1])
+            if n in sizes:
+                out = out.withColumn(f"_score_{n}", F.col("score"))
+        return out.select(*rows.columns, *[f"_score_{n}" for n in sizes])
 
     def score(self, rows: DataFrame) -> DataFrame:
         return self.truncated(len(self.trees))(rows)
@@ -258,17 +261,33 @@ def _feature_rows(cat: Catalog, as_of: date, n_candidates: int = 300, population
     return features.downcast(features.assemble(wide, features.offline_sources(cat, as_of, population=population), cat))
 
 
+def _places(scored: DataFrame, truth: DataFrame, sizes: list[int]) -> DataFrame:
+    """trees, customer_key, article_id, pos: the places of the bought candidates in the order of ``top_k``, by
+    each prefix. A place is one more than the customer's candidates before it, so nothing is sorted."""
+    names = [f"_score_{n}" for n in sizes]
+    bought = merged(scored, truth, ["customer_key", "article_id"], "left_semi").select("customer_key", F.col("article_id").alias("_bought"), *[F.col(c).alias(f"_b{c}") for c in names])
+    pairs = merged(scored, bought, "customer_key")
+    before = [F.count_if((F.col(c) > F.col(f"_b{c}")) | ((F.col(c) == F.col(f"_b{c}")) & (F.col("article_id") < F.col("_bought")))) for c in names]
+    found = pairs.groupBy("customer_key", "_bought").agg(*[(n + 1).alias(c) for n, c in zip(before, names, strict=True)])
+    places = F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("trees"), F.col(c).alias("pos")) for n, c in zip(sizes, names, strict=True)]))
+    return found.select("customer_key", F.col("_bought").alias("article_id"), places.alias("p")).select("p.trees", "customer_key", "article_id", "p.pos")
+
+
 def tree_sweep(cat: Catalog, ranker: PointwiseGbt, trained_on: date, select_on: date, sizes: list[int]) -> DataFrame:
     """trees, map, relative: model prefixes judged on a later week than any they learnt from."""
     if select_on <= trained_on:
         raise ValueError("trees have to be selected on a week after the training week")
+    sizes = sorted(set(sizes))
     truth = written(evaluation.ground_truth(cat, select_on), "sweep-truth")
-    # the candidates are scored by all prefixes in one pass
-    scored = _feature_rows(cat, select_on)
-    for n in sizes:
-        scored = ranker.truncated(n)(scored).withColumnRenamed("score", f"_score_{n}")
+    # all candidates are scored by all prefixes in one pass, and the places of the bought ones found in another
+    scored = ranker.prefixes(_feature_rows(cat, select_on), sizes)
     scored = written(scored.select("customer_key", "article_id", *[f"_score_{n}" for n in sizes]), "sweep-scores")
-    rows = [evaluation.mean_average_precision(truth, top_k(scored.withColumnRenamed(f"_score_{n}", "score"))).select(F.lit(n).cast("long").alias("trees"), "map") for n in sizes]
-    table = written(reduce(DataFrame.unionByName, rows), "sweep")
+    preds = written(_places(scored, truth, sizes), "sweep-places")
+    every = truth.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n).cast("long") for n in sizes])).alias("trees"))
+    # a customer's list by one prefix is a list of its own
+    own = F.struct("trees", "customer_key").alias("customer_key")
+    aps = evaluation.average_precision(truth.join(F.broadcast(every)).select(own, "article_id"), preds.select(own, "article_id", "pos"))
+    maps = aps.groupBy(F.col("customer_key.trees").alias("trees")).agg(F.round(F.avg("ap"), 9).alias("map"))
+    table = written(every.join(maps, "trees", "left").fillna(0.0, ["map"]), "sweep")
     best = table.agg(F.max("map").alias("best"))
     return table.join(F.broadcast(best), F.lit(True)).select("trees", "map", (F.col("map") / F.nullif(F.col("best"), F.lit(0.0))).alias("relative"))

@@ -177,9 +177,9 @@ def _als(x: _Context) -> DataFrame:
     return baselines.recommend_als(baselines.fit_als(ratings, rank=16, iterations=5), users, items, x.pop, 50)
 
 
-def _trained(x: _Context, **settings) -> ranking.PointwiseGbt:
+def _trained(x: _Context) -> ranking.PointwiseGbt:
     week = AS_OF - timedelta(days=7)
-    return ranking.PointwiseGbt(**settings).fit(ranking.build_training_set(x.cat, week))
+    return ranking.PointwiseGbt().fit(ranking.build_training_set(x.cat, week))
 
 
 def _ranker(x: _Context) -> DataFrame:
@@ -193,7 +193,9 @@ def _listwise(x: _Context) -> DataFrame:
 
 
 def _tree_sweep(x: _Context) -> DataFrame:
-    return ranking.tree_sweep(x.cat, _trained(x, trees=3), AS_OF - timedelta(days=7), AS_OF, [1, 3])
+    """Every prefix of the ranker with its own settings."""
+    ranker = _trained(x)
+    return ranking.tree_sweep(x.cat, ranker, AS_OF - timedelta(days=7), AS_OF, list(range(1, ranker.settings["maxIter"] + 1)))
 
 
 _QUERIES: dict[str, Callable[[_Context], DataFrame]] = {
