@@ -279,8 +279,9 @@ def tree_sweep(cat: Catalog, ranker: PointwiseGbt, trained_on: date, select_on:
         raise ValueError("trees have to be selected on a week after the training week")
     sizes = sorted(set(sizes))
     truth = written(evaluation.ground_truth(cat, select_on), "sweep-truth")
-    # all candidates are scored by all prefixes in one pass, and the places of the bought ones found in another
-    scored = ranker.prefixes(_feature_rows(cat, select_on), sizes)
+    # all candidates are scored by all prefixes in one pass, and the places of the bought ones found in another;
+    # the driver has no room for a plan that holds the features and all trees
+    scored = ranker.prefixes(written(_feature_rows(cat, select_on), "sweep-rows"), sizes)
     scored = written(scored.select("customer_key", "article_id", *[f"_score_{n}" for n in sizes]), "sweep-scores")
     preds = written(_places(scored, truth, sizes), "sweep-places")
     every = truth.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n).cast("long") for n in sizes])).alias("trees"))
